@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docsmelt.llm.common import documents
 from docsmelt.llm.packing import pack_documents
+from docsmelt.llm.simhash import near_duplicates
+from docsmelt.llm.token_counts import token_counts
 from docsmelt.llm.token_files import token_files
 from docsmelt.llm.token_ops import encode_digests
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -19,10 +25,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
