@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docsmelt.llm.common import documents
 from docsmelt.llm.packing import pack_documents
 from docsmelt.llm.simhash import near_duplicates
+from docsmelt.llm.substring_dedup import remove_repeats
 from docsmelt.llm.token_counts import token_counts
 from docsmelt.llm.token_files import token_files
 from docsmelt.llm.token_ops import encode_digests
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +40,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
