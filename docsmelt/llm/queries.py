@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docsmelt.llm.common import documents
 from docsmelt.llm.packing import pack_documents
+from docsmelt.llm.quality import fit_quality, held_out, quality_scores
 from docsmelt.llm.simhash import near_duplicates
 from docsmelt.llm.substring_dedup import remove_repeats
 from docsmelt.llm.token_counts import token_counts
@@ -36,10 +37,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = quality_scores(texts, fit_quality(texts, labels))
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op9_quality, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
