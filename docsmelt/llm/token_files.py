@@ -2,9 +2,10 @@
 
 A data set is a folder of pairs of files, one pair for each range of document ids:
 
-``part-NNNNN.tokens.arrow``  rows of equal length: ``ids`` fixed_size_list<uint32>[L] and
-    ``mask`` fixed_size_list<uint8>[L], 1 where an id is real; only a file's last row has
-    zeros. Row r of a file holds its ids r*L to r*L + L - 1, so a memory-mapped reader
+``part-NNNNN.tokens.arrow``  rows of equal length: ``ids`` fixed_size_list<T>[L], T the
+    least of uint16 and uint32 that holds the vocabulary, and ``mask``
+    fixed_size_list<bool>[L], true where an id is real; only a file's last row has
+    false. Row r of a file holds its ids r*L to r*L + L - 1, so a memory-mapped reader
     reaches any sequence without a copy and without reading what lies before it.
 ``part-NNNNN.docs.arrow``  doc_id, start (in the file) and n_tokens of its documents, in
     ascending order of doc_id.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docsmelt.llm.bpe import byte_bpe
 from docsmelt.llm.common import scratch_dir
 from docsmelt.llm.token_ops import encoded_passes
 
@@ -50,14 +52,14 @@ def _fixed(values: np.ndarray, length: int) -> pa.Array:
 class TokenWriter:
     """Writes one pair of files row batch by row batch; memory is one batch."""
 
-    def __init__(self, folder: str, part: int, length: int, id_type: pa.DataType):
+    def __init__(self, folder: str, part: int, length: int, doc_type: pa.DataType, id_type=np.uint32):
         self.fs, base = _open(folder)
         self.fs.create_dir(base, recursive=True)
-        self.length = length
+        self.length, self.id_type = length, id_type
         self.final = f"{base}/part-{part:05d}"
         self.temp = f"{base}/_{uuid.uuid4().hex}"
-        tokens = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
-        docs = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        tokens = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(id_type), length)), ("mask", pa.list_(pa.bool_(), length))])
+        docs = pa.schema([("doc_id", doc_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(f"{self.temp}.{kind}") for kind in ("tokens", "docs")]
         self.tokens, self.docs = (pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (tokens, docs)))
         self.rest, self.rest_size, self.total = [], 0, 0
@@ -66,7 +68,7 @@ class TokenWriter:
         starts = self.total + np.cumsum(sizes) - sizes
         self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(sizes)], schema=self.docs_schema(doc_ids)))
         self.total += len(ids)
-        self.rest.append(ids.astype(np.uint32))
+        self.rest.append(ids.astype(self.id_type))
         self.rest_size += len(ids)
         unit = BATCH_ROWS * self.length
         if self.rest_size >= unit:
@@ -81,14 +83,14 @@ class TokenWriter:
         return pa.schema([("doc_id", doc_ids.type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def _write(self, flat: np.ndarray, real: int):
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(flat), bool)
+        mask[:real] = True
         self.tokens.write_batch(pa.RecordBatch.from_arrays([_fixed(flat, self.length), _fixed(mask, self.length)], ["ids", "mask"]))
 
     def close(self):
-        flat = np.concatenate([*self.rest, np.zeros(0, np.uint32)])
+        flat = np.concatenate([*self.rest, np.zeros(0, self.id_type)])
         if len(flat):
-            self._write(np.concatenate((flat, np.zeros(-len(flat) % self.length, np.uint32))), len(flat))
+            self._write(np.concatenate((flat, np.zeros(-len(flat) % self.length, self.id_type))), len(flat))
         for writer, sink, kind in zip((self.tokens, self.docs), self.sinks, ("tokens", "docs")):
             writer.close()
             sink.close()
@@ -111,10 +113,11 @@ class TokenReader:
         self._at, self._held = -1, None
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row."""
+        """Ids (a view of the map, where the file is local) and mask of one row."""
         batch = self._batch(row // BATCH_ROWS)
         a = row % BATCH_ROWS * self.length
-        return tuple(c.flatten().to_numpy(zero_copy_only=True)[a : a + self.length] for c in batch.columns)
+        ids, mask = (c.flatten().slice(a, self.length) for c in batch.columns)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def _batch(self, k: int) -> pa.RecordBatch:
         if k != self._at:
@@ -129,7 +132,7 @@ class TokenReader:
             flat = self._batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
             out.append(flat[start - k * unit : min(stop - k * unit, unit)])
             start = (k + 1) * unit
-        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint32), *out])
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint16), *out])
 
 
 def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,6 +149,7 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, l
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // FILE_BYTES))
+    id_type = np.uint16 if max(end_id + 1, len(byte_bpe(vocabulary).pieces)) <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]):
         writer = None
@@ -153,7 +157,7 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, l
         for batch in batches:
             for lo, hi, ids, cut in encoded_passes(batch, 1, vocabulary):
                 if writer is None:
-                    writer = TokenWriter(folder, part, length, batch.schema.field(0).type)
+                    writer = TokenWriter(folder, part, length, batch.schema.field(0).type, id_type)
                 writer.add(batch.column(0).slice(lo, hi - lo), np.insert(ids, cut[1:], end_id), np.diff(cut) + 1)
         if writer is not None:
             writer.close()
@@ -180,7 +184,7 @@ def read_digests(spark: SparkSession, folder: str, manifest: DataFrame, id_type:
                 reader = TokenReader(folder, part)
                 for docs in reader.docs.to_batches(max_chunksize=4096):
                     starts, sizes = docs.column(1).to_numpy(), docs.column(2).to_numpy()
-                    crc = [zlib.crc32(reader.ids(a, n).astype("<u4", copy=False).tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())]
+                    crc = [zlib.crc32(reader.ids(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())]
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + base), docs.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     dealt = files.repartition(max(1, manifest.count()), "part")
