@@ -10,6 +10,7 @@ from docsmelt.llm.common import documents
 from docsmelt.llm.impact_index import every, top_k
 from docsmelt.llm.packing import pack_documents
 from docsmelt.llm.permutation_index import nearest
+from docsmelt.llm.pii import replace_entities
 from docsmelt.llm.quality import fit_quality, held_out, quality_scores
 from docsmelt.llm.simhash import near_duplicates
 from docsmelt.llm.substring_dedup import remove_repeats
@@ -47,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = quality_scores(texts, fit_quality(texts, labels))
@@ -57,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_substring_dedup, op3_ann, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op9_quality, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_substring_dedup, op3_ann, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op8_pii, op9_quality, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
