@@ -10,10 +10,10 @@ numpy blocks. What leaves a tile pair is a spanning forest of its links, not the
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +24,11 @@ from docsmelt.llm.common import materialise, passes
 from docsmelt.llm.components import connected_components, link_roots
 
 #: Rows of one side of a numpy comparison; a block holds its square in bytes and words.
-BLOCK = 1024
+BLOCK = 512
+#: Tiles that a fingerprint may visit before tiles become ranges of the population count.
+MOST_STEPS = 100
+#: Rows of such a range tile.
+TILE_ROWS = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -96,71 +100,148 @@ def near_steps(parts: int, radius: int) -> list[tuple[int, ...]]:
 
 def close_links(mine: np.ndarray, other: np.ndarray, radius: int, same: bool):
     """Row numbers (i, j) of fingerprints that differ in at most ``radius`` bits, block by block."""
-    for i in range(0, len(mine), BLOCK):
-        for j in range(i if same else 0, len(other), BLOCK):
-            a, b = mine[i : i + BLOCK], other[j : j + BLOCK]
-            far = np.zeros((len(a), len(b)), np.uint8)
-            for k in range(a.shape[1]):
-                far += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
-            x, y = np.nonzero(far <= radius)
+    mine, other = np.ascontiguousarray(mine.T), np.ascontiguousarray(other.T)
+    n, m = mine.shape[1], other.shape[1]
+    mixed, bits, far = np.empty(BLOCK * BLOCK, np.uint64), np.empty(BLOCK * BLOCK, np.uint8), np.empty(BLOCK * BLOCK, np.uint8)
+    for i in range(0, n, BLOCK):
+        for j in range(i if same else 0, m, BLOCK):
+            a, b = mine[:, i : i + BLOCK], other[:, j : j + BLOCK]
+            shape, size = (a.shape[1], b.shape[1]), a.shape[1] * b.shape[1]
+            x, c, f = mixed[:size].reshape(shape), bits[:size].reshape(shape), far[:size].reshape(shape)
+            for k in range(len(mine)):
+                np.bitwise_xor(a[k][:, None], b[k][None, :], out=x)
+                np.bitwise_count(x, out=c if k else f)
+                if k:
+                    np.add(f, c, out=f)
+            at = np.flatnonzero(f.ravel() <= radius)
+            u, v = at // shape[1], at % shape[1]
             if same and i == j:
-                x, y = x[x < y], y[x < y]
-            if len(x):
-                yield x + i, y + j
+                u, v = u[u < v], v[u < v]
+            if len(u):
+                yield u + i, v + j
 
 
-def fingerprint_links(prints: DataFrame, radius: int, parts: int = 4) -> DataFrame:
+def _forest(name: np.ndarray, home: int, radius: int, inside: bool = True) -> pa.Table:
+    """Links (child, root) that span the components of links between the first ``home`` names and the rest, and, if ``inside``, within the first."""
+    value = _values("".join(name.tolist()), len(name))
+    within = close_links(value[:home], value[:home], radius, True) if inside else ()
+    across = ((a, b + home) for a, b in close_links(value[:home], value[home:], radius, False))
+    root = np.arange(len(name))
+    for a, b in itertools.chain(within, across):  # folded in block by block, so links never pile up
+        root = link_roots(root, a, b)
+    child = np.flatnonzero(root != np.arange(len(name)))
+    return pa.table([pa.array(name[child], pa.string()), pa.array(name[root[child]], pa.string())], ["a", "b"])
+
+
+def _values(hexadecimal: str, rows: int) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(hexadecimal), ">u8").astype(np.uint64).reshape(rows, -1)
+
+
+def fingerprint_links(prints: DataFrame, radius: int, parts: int = 4, words: int = 1) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within ``radius`` bits.
 
-    ``prints`` has one column, fingerprint, of distinct values. Each 64-bit word is cut
-    in ``parts`` parts; a tile holds the fingerprints with the same part counts. A tile
-    goes to itself and, as a visitor, to the tiles at each of ``near_steps``; a group is
-    one tile and its visitors. The memory of a task is one group; tiles shrink by the
-    power of the number of parts, so raise ``parts`` (8 at most) for larger tables.
+    ``prints`` has one column, fingerprint, of distinct values. For small radii each
+    64-bit word is cut in ``parts`` parts and a tile holds the fingerprints with the same
+    part counts (``_part_tiles``); where that would make more than ``MOST_STEPS`` visits
+    of each fingerprint, tiles are ranges of the whole population count (``_range_tiles``).
+    Either way every pair within the radius is compared.
+    """
+    if count_steps(parts * words, radius) <= MOST_STEPS:
+        return _part_tiles(prints, radius, parts)
+    return _range_tiles(prints, radius)
+
+
+def count_steps(parts: int, radius: int) -> int:
+    """Number of whole vectors of ``parts`` numbers whose magnitudes sum to ``radius`` at most."""
+    return sum(2**k * math.comb(parts, k) * math.comb(radius, k) for k in range(min(parts, radius) + 1))
+
+
+def _part_tiles(prints: DataFrame, radius: int, parts: int) -> DataFrame:
+    """A tile goes to itself and, as a visitor, to the tiles at each of ``near_steps``.
+
+    A group is one tile and its visitors, and the memory of a task is one group; tiles
+    shrink by the power of the number of parts, so raise ``parts`` for larger tables.
     """
     width = 64 // parts
 
     def keyed(batches: Iterator[pa.RecordBatch]):
         steps = None
         for batch in batches:
-            raw = "".join(batch.column(0).to_pylist())
-            count = batch.num_rows
-            if not count:
+            if not batch.num_rows:
                 continue
-            value = np.frombuffer(bytes.fromhex(raw), ">u8").astype(np.uint64).reshape(count, -1)
+            value = _values("".join(batch.column(0).to_pylist()), batch.num_rows)
             if steps is None:
                 steps = np.array([(0,) * (parts * value.shape[1]), *near_steps(parts * value.shape[1], radius)])
             mask = np.uint64((1 << width) - 1)
-            pops = np.concatenate([np.bitwise_count((value[:, [k]] >> (np.arange(parts, dtype=np.uint64) * np.uint64(width))[None, :]) & mask) for k in range(value.shape[1])], axis=1).astype(np.int64)
+            cut = np.arange(parts, dtype=np.uint64) * np.uint64(width)
+            pops = np.concatenate([np.bitwise_count((value[:, [k]] >> cut[None, :]) & mask) for k in range(value.shape[1])], axis=1).astype(np.int64)
             for s, step in enumerate(steps):
                 near = pops + step
                 ok = np.flatnonzero(((near >= 0) & (near <= width)).all(axis=1))
-                if not len(ok):
-                    continue
                 key = np.zeros(len(ok), np.int64)
                 for column in near[ok].T:
                     key = key * (width + 1) + column
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ok), s > 0)), batch.column(0).take(pa.array(ok))], ["tile", "visitor", "fingerprint"])
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        home = group.loc[~group["visitor"], "fingerprint"].to_numpy()
-        away = group.loc[group["visitor"], "fingerprint"].to_numpy()
-        if not len(home):
-            return pd.DataFrame({"a": [], "b": []}, dtype=str)
-        name = np.concatenate((home, away))
-        value = np.frombuffer(bytes.fromhex("".join(name.tolist())), ">u8").astype(np.uint64).reshape(len(name), -1)
-        mine, other = value[: len(home)], value[len(home) :]
-        within = close_links(mine, mine, radius, True)
-        across = ((a, b + len(home)) for a, b in close_links(mine, other, radius, False))
-        root = np.arange(len(name))
-        for a, b in itertools.chain(within, across):  # folded in block by block, so links never pile up
-            root = link_roots(root, a, b)
-        child = np.flatnonzero(root != np.arange(len(name)))
-        root = root[child]
-        return pd.DataFrame({"a": name[child], "b": name[root]})
+    def compare(key, table):
+        visitor = table.column("visitor").to_numpy()
+        name = table.column("fingerprint").to_numpy()
+        order = np.argsort(visitor, kind="stable")
+        return _forest(name[order], int((~visitor).sum()), radius)
 
     tiles = prints.select("fingerprint").mapInArrow(keyed, "tile bigint, visitor boolean, fingerprint string")
-    return tiles.groupBy("tile").applyInPandas(compare, "a string, b string")
+    return tiles.groupBy("tile").applyInArrow(compare, "a string, b string")
+
+
+def _range_tiles(prints: DataFrame, radius: int) -> DataFrame:
+    """Tiles of about ``TILE_ROWS`` fingerprints with adjoining population counts.
+
+    Pairs of tiles whose counts differ by more than the radius are skipped. A tile travels
+    as one packed row for each tile it meets, and a group is two such rows. All pairs of
+    tiles that remain are compared, so the work grows with the square of the distinct
+    fingerprints; their number is what exact copies don't raise.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            value = _values("".join(batch.column(0).to_pylist()), batch.num_rows) if batch.num_rows else np.zeros((0, 1), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bitwise_count(value).sum(axis=1, dtype=np.int64))], ["fingerprint", "pop"])
+
+    rows = prints.select("fingerprint").mapInArrow(counted, "fingerprint string, pop bigint")
+    histogram = rows.groupBy("pop").count().orderBy("pop").collect()  # one row for each population count
+    tiles, first, spread, last = [], {}, {}, None  # tiles: (least count, largest count)
+    for pop, count in histogram:
+        n = max(1, -(-count // TILE_ROWS))
+        if n == 1 and last is not None and last + count <= TILE_ROWS:
+            tiles[-1][1], last = pop, last + count
+        else:
+            tiles += [[pop, pop] for _ in range(n)]
+            last = count if n == 1 else None
+        first[pop], spread[pop] = len(tiles) - n, n
+    if not tiles:
+        return prints.selectExpr("fingerprint as a", "fingerprint as b").limit(0)
+    lookup = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("pop"))
+    dealt = rows.select("fingerprint", (lookup(first) + F.pmod(F.xxhash64("fingerprint"), lookup(spread))).cast("int").alias("tile"))
+
+    def pack(key, table):
+        mine, (low, high) = key[0].as_py(), tiles[key[0].as_py()]
+        names = "".join(table.column("fingerprint").to_pylist()).encode()
+        width = len(names) // table.num_rows
+        meets = [t for t, (a, b) in enumerate(tiles) if a - high <= radius and low - b <= radius]
+        n = len(meets)
+        columns = [[min(mine, t) for t in meets], [max(mine, t) for t in meets], [mine] * n, [width] * n, [names] * n]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["u", "v", "tile", "width", "names"])
+
+    def compare(key, table):
+        names, home = [], 0
+        for tile, width, raw in sorted(zip(*(table.column(c).to_pylist() for c in ("tile", "width", "names")))):
+            raw = raw.decode()
+            names += [raw[i : i + width] for i in range(0, len(raw), width)]
+            if tile == key[0].as_py():
+                home = len(names)
+        return _forest(np.array(names, object), home, radius, key[0].as_py() == key[1].as_py())
+
+    packed = dealt.groupBy("tile").applyInArrow(pack, "u int, v int, tile int, width int, names binary")
+    return packed.groupBy("u", "v").applyInArrow(compare, "a string, b string")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +256,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, words: int
     """
     rows = materialise(fingerprints(df, shingle, words, id_col, text_col), "fingerprints")
     nodes = materialise(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "nodes")
-    roots = connected_components(fingerprint_links(nodes, radius, parts), "a", "b")
+    roots = connected_components(fingerprint_links(nodes, radius, parts, words), "a", "b")
     grouped = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.join(named, "root").select("fingerprint", "component_id")
