@@ -16,8 +16,8 @@ from docsmelt.llm.substring_dedup import remove_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("lang", "source", "n_chars")
 
-#: Near-duplicates: fingerprints of five-word shingles, 128 bits, that agree in eight bits of ten.
-SHINGLE, WORDS, RADIUS = 5, 2, 25
+#: Near-duplicates: fingerprints of five-word shingles, 128 bits, that differ in 24 bits at most (a similarity of about 0.8).
+SHINGLE, WORDS, RADIUS = 5, 2, 24
 VOCABULARY = "byte_bpe_50k.json"
 
 
