@@ -23,7 +23,7 @@ from docsmelt.llm.common import passes
 BITS = 20
 SLOTS = 1 << BITS
 #: Labelled rows that training takes at most: those with the least hashes of their ids.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 #: Passes over the training rows.
 EPOCHS = 3
 
@@ -112,8 +112,11 @@ def training_rows(texts: DataFrame, labels: DataFrame, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(k).slice(lo, hi - lo) for k in (1, 2, 3))], ["slots", "values", "label", "ord", "id"])
 
     found = joined.select("_text", "_label", "_order", F.col(id_col).cast("string").alias("_id")).mapInArrow(run, "slots binary, values binary, label int, ord bigint, id string")
-    taken = sorted(found.collect(), key=lambda r: (r["ord"], r["id"], bytes(r["slots"])))
-    return [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["values"], "<f4").astype(float), r["label"]) for r in taken]
+    taken = found.toArrow().combine_chunks()
+    slots, values, label = (taken.column(c).to_pylist() for c in ("slots", "values", "label"))
+    keys = list(zip(taken.column("ord").to_pylist(), taken.column("id").to_pylist(), slots))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [(np.frombuffer(slots[k], "<i4"), np.frombuffer(values[k], "<f4"), label[k]) for k in order]
 
 
 def quality_scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
