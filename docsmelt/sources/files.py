@@ -50,7 +50,7 @@ def prioritise(files: DataFrame) -> DataFrame:
 
 def without_ocr_twins(files: DataFrame, name: str = "name") -> DataFrame:
     """Files but ``X.ocr.pdf`` where ``X.pdf`` is there too."""
-    plain = files.where(~F.col(name).endswith(".ocr.pdf")).select(F.regexp_replace(name, r"\.pdf$", ".ocr.pdf").alias(name)).distinct()
+    plain = files.where(F.col(name).endswith(".pdf") & ~F.col(name).endswith(".ocr.pdf")).select(F.regexp_replace(name, r"\.pdf$", ".ocr.pdf").alias(name)).distinct()
     return files.join(plain, name, "left_anti")
 
 
