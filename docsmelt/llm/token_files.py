@@ -139,7 +139,7 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, l
     """Write the ids of every text, ``end_id`` after each, in ascending id order.
 
     Returns one row for each file: part (long), tokens (long). Null or empty texts are
-    the end id alone. Null doc ids come first, repeated ids in the order of their texts.
+    the end id alone. Null doc ids come first, repeated ids in the order of a hash of their texts.
     An empty table writes no file. Other columns play no part.
 
     The range partitioning by id is the only shuffle; the number of files follows the
@@ -163,7 +163,9 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, l
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "tokens"])
 
-    order = rows.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text")
+    # the second key spreads rows of one id (or none); a hash, so that range sampling never carries texts
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    order = keyed.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     manifest = f"{folder}/manifest"
     order.mapInArrow(run, "part bigint, tokens bigint").write.parquet(manifest)
     return spark.read.schema("part bigint, tokens bigint").parquet(manifest)
