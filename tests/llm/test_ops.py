@@ -197,7 +197,9 @@ def test_op10(spark, byte_library, monkeypatch, tmp_path):
 def test_op10_null_and_repeated_ids(spark, tmp_path):
     df = docs(spark, ["b", None, "a", "a"], [None, None, 5, 5])
     got = token_files.token_files(df, BYTE, f"file://{tmp_path}/t").collect()
-    assert sorted(r["n_tokens"] for r in got) == [1, 2, 2, 2] and sorted(r["start"] for r in got) == [0, 1, 3, 5]
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert sorted(n for _, n, _ in got) == [1, 2, 2, 2] and [i for _, _, i in got] == [None, None, 5, 5]
+    assert got[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(got, got[1:]))
 
 
 # --- 2: substring dedup -----------------------------------------------------------------
