@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from docsmelt.llm.vector_blocks import per_query, search_blocks, valid_vectors
 
 #: Quantised impacts: the levels' lower ends, as parts of a query's largest impact.
-LEVELS = (0.5, 0.25, 0.125, 0.0625, 0.0, -0.0625, -0.125, -0.25)
+LEVELS = (0.25, 0.0, -0.0625, -0.25)
+#: A query goes on to exact scores when the proof leaves at most this part of a block's rows.
+RESCORE_PART = 0.125
 #: Scaled components beyond this magnitude count as this, so that scores fit in 64 bits.
 LARGEST = 1 << 27
 
@@ -52,7 +54,7 @@ class ImpactIndex:
     def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best, and their exact scores; ``own`` rows take no part."""
         n = len(self.values)
-        few = max(4 * k, 64)
+        few, enough = max(4 * k, 64), max(4 * k, 64, int(RESCORE_PART * n))
         high = np.maximum(query * self.sorted[:, 0], query * self.sorted[:, -1])  # largest impact of each component
         total, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
         done = np.zeros(len(query), np.int64)
@@ -69,12 +71,12 @@ class ImpactIndex:
             open_ = (high >= low) & (query != 0)
             bound = total + low * (int(open_.sum()) - met) + int(high[~open_].sum())
             left = np.flatnonzero(alive)
-            if len(left) <= few:
-                break
-            head = left[np.argpartition(-bound[left], few)[:few]]
+            head = left[np.argpartition(-bound[left], few)[:few]] if len(left) > few else left
             exact = np.sort(self.values[head] @ query)
             if len(exact) >= k:
                 alive &= bound >= exact[-k]  # a proof: the rest is below k exact scores
+            if int(alive.sum()) <= enough:
+                break
         rows = np.flatnonzero(alive)
         return rows, self.values[rows] @ query
 
