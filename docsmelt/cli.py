@@ -1,4 +1,4 @@
-"""Command line: init, extract, validate, export, status, override, coverage, dedup."""
+"""Command line: init, extract, validate, export, sync, status, override, discover, coverage, dedup."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from docsmelt.operators import extract, match, report, resolve
+from docsmelt.operators import assist, extract, match, report, resolve
 from docsmelt.plans import libraries
 from docsmelt.session import get_session
 from docsmelt.sources import code, files, store, tables
@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docsmelt")
     sub = p.add_subparsers(dest="command", required=True)
     for name, args in {
-        "init": ["--database"], "extract": ["folder", "--table"], "validate": ["gold", "results"], "export": ["--format", "--output", "--ids"],
+        "init": ["--database"], "sync": ["output", "--updates"], "discover": ["texts", "output", "--provider"], "extract": ["folder", "--table"], "validate": ["gold", "results"], "export": ["--format", "--output", "--ids"],
         "status": [], "override": ["experiment", "param", "value", "--reason"], "coverage": ["results"], "dedup": ["results", "output", "--strategy"],
     }.items():
         s = sub.add_parser(name)
@@ -57,6 +57,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "override":
         row = spark.createDataFrame([(a.experiment, a.param, a.value, a.reason)], "experiment_id string, parameter_name string, override_value string, override_reason string")
         store.conform(row.withColumn("override_timestamp", F.current_timestamp()), "manual_overrides").write.mode("append").saveAsTable("manual_overrides")
+    elif a.command == "sync":
+        experiments = spark.table("experiments")
+        if a.updates:
+            store.upsert_table(store.apply_status(experiments, spark.read.csv(a.updates, header=True)), "experiments", "id")
+        store.review_sheet(spark.table("experiments")).write.mode("overwrite").csv(a.output, header=True)
+    elif a.command == "discover":
+        docs = spark.read.text(a.texts, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        ask = docs.withColumn("prompt", F.concat(F.lit("Propose new parameters as JSON (new_parameters) for:\n"), F.substring("text", 1, 15000)))
+        found = assist.parse_new(assist.generate(ask.select("path", "prompt"), "prompt", assist.provider(a.provider or "stub"), "discover"), ["path"])
+        assist.filter_proposals(found).write.mode("overwrite").json(a.output)
     elif a.command == "coverage":
         params = tables.batch_params(tables.read_batch_results(spark, a.results)).withColumn("scope", F.concat_ws("#", "paper_name", F.col("experiment").cast("string")))
         report.coverage(params, params, "scope").orderBy(F.desc("pct"), "param").show(100, False)

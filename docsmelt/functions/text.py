@@ -142,6 +142,25 @@ def token_chunks(words: Column, size: int = 1000, overlap: int = 100) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def chunk_blocks(blocks: Column, limit: int = 6000) -> Column:
+    """Neighbouring (text, page) blocks joined while they have ``limit`` words at most; a longer block stands alone.
+
+    Each chunk keeps the page of its first block.
+    """
+    chunk = "array<struct<text:string,page:int,words:int>>"
+    begin = F.array().cast(chunk)
+
+    def add(done: Column, b: Column) -> Column:
+        n, last = word_count(b["text"]), F.element_at(done, -1)
+        fits = (F.size(done) > 0) & (last["words"] + n <= limit)
+        joined = F.struct(F.concat(last["text"], F.lit("\n"), b["text"]).alias("text"), last["page"].alias("page"), (last["words"] + n).alias("words"))
+        new = F.struct(b["text"].alias("text"), b["page"].cast("int").alias("page"), n.alias("words"))
+        kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(fits, F.concat(kept, F.array(joined))).otherwise(F.concat(done, F.array(new))).cast(chunk)
+
+    return F.aggregate(blocks, begin, add)
+
+
 def paragraphs(text: Column, least: int = 50) -> Column:
     """Stripped paragraphs longer than ``least`` characters with their page, ten to a page."""
     kept = F.filter(F.transform(F.split(text, "\n\n"), squeeze), lambda p: F.length(p) > least)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -38,7 +39,24 @@ class StubProvider:
         return out
 
 
-PROVIDERS: dict[str, Callable[..., Provider]] = {"stub": StubProvider}
+class HttpProvider:
+    """Any server with the widespread ``/v1/chat/completions`` interface; one request for each prompt."""
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 120.0):
+        self.name, self.url, self.model, self.key, self.timeout = "http", url.rstrip("/"), model, key, timeout
+
+    def generate(self, prompts: list[str], temperature: float = 0.0, max_tokens: int = 1024) -> list[str]:
+        out = []
+        for p in prompts:
+            body = {"model": self.model, "temperature": temperature, "max_tokens": max_tokens, "messages": [{"role": "user", "content": p}]}
+            headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+            request = urllib.request.Request(f"{self.url}/v1/chat/completions", json.dumps(body).encode(), headers)
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                out.append(json.load(r)["choices"][0]["message"]["content"])
+        return out
+
+
+PROVIDERS: dict[str, Callable[..., Provider]] = {"stub": StubProvider, "http": HttpProvider}
 
 
 def provider(name: str, **options) -> Provider:
@@ -111,6 +129,12 @@ def gate(found: DataFrame, expected: DataFrame, scope: str, share: float = 0.3)
     return j.groupBy(scope).agg((1 - F.count("has") / F.count("*")).alias("missing")).where(F.col("missing") > share)
 
 
+def ask_model(mode: Column, confidence: Column, critical: Column, verify_below: float = 0.3, critical_below: float = 0.5) -> Column:
+    """Whether one parameter is asked for: all in verify mode; else missing, unsure, or critical and not sure enough."""
+    c = F.coalesce(confidence, F.lit(0.0))
+    return (mode == "verify") | (c < verify_below) | (critical & (c < critical_below))
+
+
 def apply_fallback(found: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates overwritten by answers that have a value; answers to missing ones come in."""
     a = answers.select(*keys, F.col("value").alias("_v"), F.col("confidence").alias("_c"))

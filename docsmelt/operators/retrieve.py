@@ -5,12 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsmelt.functions.values import parse_json
+
 QUESTION = "information about {field} in the experiment"
 
 
+#: Fields of a structured answer, one query each.
+FIELDS = ["sample_size", "age_mean", "age_sd", "handedness", "effector", "environment", "perturbation_class", "perturbation_magnitude", "perturbation_schedule", "feedback_type", "feedback_delay", "num_trials", "num_blocks", "target_distance", "instruction", "primary_outcome", "mechanism"]
+ANSWER = "struct<value:string,page:int,quote:string>"
+
+
+def field_queries(spark: SparkSession, fields: list[str] = FIELDS) -> DataFrame:
+    return spark.createDataFrame([(f, QUESTION.format(field=f)) for f in fields], "query_id string, text string")
+
+
+def parse_field(answer: Column) -> Column:
+    """value, confidence (0.8 where there is a value) and evidence of one field's answer."""
+    a = F.from_json(parse_json(answer), ANSWER)
+    return F.struct(a["value"].alias("value"), F.when(a["value"].isNotNull(), 0.8).alias("confidence"), F.array(F.struct(a["page"].alias("page"), a["quote"].alias("quote"))).alias("evidence"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

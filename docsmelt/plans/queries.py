@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from docsmelt.functions import values as vl
 from docsmelt.operators import assist, extract, match, report, resolve, retrieve, structure
 from docsmelt.plans.libraries import GENERIC, GENERIC_FALLBACK
 from docsmelt.sources import files, store
+from docsmelt.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,3 +580,20 @@ def manual_overrides(spark, sf_dir):
 def derived_totals(spark, sf_dir):
     wide = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size sample_size_per_group", "case p_partkey % 3 when 0 then null when 1 then p_size else 99 end n_total", "case when p_partkey % 2 = 0 then 0.9D else 0.5D end n_total_conf", "cast(null as int) sample_size_n", "case p_partkey % 4 when 0 then 'a 2x2 design' when 1 then 'a 2 x 3 design' when 2 then 'Three groups' else 'one group' end text")
     return extract.derived_totals(wide).select("p_partkey", "n_total", "n_total_conf")
+
+
+@query("SELECT page_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS block_no, md5(unnest(l)) AS digest FROM (SELECT page_id, list_filter(list_transform(regexp_split_to_array(replace(html, chr(10), ' '), '>[ ]*<'), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages)")
+def page_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", r"\n", " "), r">[ ]*<", "\n\n").alias("full_text"))
+    return files.blocks(pages, ["page_id"]).select("page_id", "block_no", F.md5("text").alias("digest"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark, sf_dir):
+    """The events as a file stream, windowed by hour, all that is there processed."""
+    path = f"{sf_dir}/events.parquet"
+    name = f"stream_counts_{uuid.uuid4().hex}"
+    stream = ingest.file_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = ingest.windowed_counts(stream, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

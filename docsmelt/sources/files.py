@@ -97,3 +97,15 @@ def uncached(files: DataFrame, cache: DataFrame, mode: str = "default") -> tuple
     keyed = files.withColumn("mode", F.lit(mode))
     keys = ["path", "modificationTime", "mode"]
     return keyed.join(cache.select(*keys), keys, "left_anti"), cache.join(keyed.select(*keys), keys, "left_semi")
+
+
+def blocks(texts: DataFrame, keys: list[str], text: str = "full_text") -> DataFrame:
+    """keys, page, block_no, text: blocks between blank lines, pages between form feeds, both from 1."""
+    pages = texts.select(*keys, F.posexplode(F.split(text, "\f")).alias("p", "t"))
+    rows = pages.select(*keys, (F.col("p") + 1).alias("page"), F.posexplode(F.split("t", r"\n[ \t]*\n")).alias("b", "text"))
+    return rows.select(*keys, "page", (F.col("b") + 1).alias("block_no"), tx.squeeze(F.col("text")).alias("text")).where("text <> ''")
+
+
+def words(texts: DataFrame, keys: list[str], text: str = "full_text") -> DataFrame:
+    """keys, page, block_no, word_no, word."""
+    return blocks(texts, keys, text).select(*keys, "page", "block_no", F.posexplode(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")).alias("word_no", "word"))

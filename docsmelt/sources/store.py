@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -156,5 +158,17 @@ def apply_overrides(params: DataFrame, overrides: DataFrame) -> DataFrame:
     return params.join(last, ["experiment_id", "parameter_name"], "left").withColumns({"value": F.coalesce("_o", "value"), "overridden": F.col("_o").isNotNull()}).drop("_o")
 
 
+def run_sql(spark: SparkSession, script: str) -> list[DataFrame]:
+    """Run the statements of a script in order; a semicolon inside quotes ends none."""
+    statements = re.findall(r"(?:'(?:[^'\\\\]|\\\\.|'')*'|[^';])+", re.sub(r"(?m)^\s*--.*$", "", script))
+    return [spark.sql(s) for s in map(str.strip, statements) if s]
+
+
+def write_report(parts: dict[str, DataFrame], path: str, spark: SparkSession) -> None:
+    """Named small results as one JSON file of lines: part, row number and the row."""
+    rows = [(name, i, row) for name, df in parts.items() for i, row in enumerate(df.limit(1000).toJSON().collect())]
+    spark.createDataFrame(rows, "part string, row int, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
 def log_usage(calls: DataFrame, path: str) -> None:
     calls.write.mode("append").json(path)
