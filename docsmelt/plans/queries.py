@@ -591,7 +591,7 @@ def page_blocks(spark, sf_dir):
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark, sf_dir):
     """The events as a file stream, windowed by hour, all that is there processed."""
-    path = f"{sf_dir}/events.parquet"
+    path = f"{sf_dir}/events.parque[t]"  # a pattern, so that one file may stand for the folder
     name = f"stream_counts_{uuid.uuid4().hex}"
     stream = ingest.file_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = ingest.windowed_counts(stream, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
