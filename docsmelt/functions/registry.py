@@ -40,12 +40,10 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
 def extract_json(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
 
-@udtf(returnType="name string, value string, method string, confidence double")
 class PythonParams:
     """Parameters of one Python source."""
 
@@ -53,7 +51,6 @@ class PythonParams:
         yield from code.python_params(source or "", {k.lower(): v for k, v in alias_table().items()})
 
 
-@udtf(returnType="name string, value string")
 class ConfigParams:
     """Parameters of one configuration text, ``kind`` json or yaml."""
 
@@ -67,6 +64,6 @@ class ConfigParams:
 
 def register(spark: SparkSession) -> None:
     """Make ``extract_json``, ``python_params`` and ``config_params`` callable from SQL."""
-    spark.udf.register("extract_json", extract_json)
-    spark.udtf.register("python_params", PythonParams)
-    spark.udtf.register("config_params", ConfigParams)
+    spark.udf.register("extract_json", F.pandas_udf(extract_json, "string"))
+    spark.udtf.register("python_params", udtf(PythonParams, returnType="name string, value string, method string, confidence double"))
+    spark.udtf.register("config_params", udtf(ConfigParams, returnType="name string, value string"))

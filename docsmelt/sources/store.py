@@ -160,7 +160,9 @@ def apply_overrides(params: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def run_sql(spark: SparkSession, script: str) -> list[DataFrame]:
     """Run the statements of a script in order; a semicolon inside quotes ends none."""
-    statements = re.findall(r"(?:'(?:[^'\\\\]|\\\\.|'')*'|[^';])+", re.sub(r"(?m)^\s*--.*$", "", script))
+    quoted = r"'(?:[^'\\]|\\.)*'"
+    bare = re.sub(rf"({quoted})|--[^\n]*", lambda m: m[1] or "", script)
+    statements = re.findall(rf"(?:{quoted}|[^';])+", bare)
     return [spark.sql(s) for s in map(str.strip, statements) if s]
 
 

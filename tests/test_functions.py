@@ -212,3 +212,71 @@ def test_migration_is_idempotent(spark):
     again = store.migrate(df, {"paper_id": "string"}, "1.5")
     assert again.columns == ["id", "paper_id", "schema_version"] and again.first()["schema_version"] == "1.4"
     assert store.conform(df, "experiments").columns[0] == "id"
+
+
+def test_block_chunks(spark):
+    blocks = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(p).alias("page")) for t, p in (("a b", 1), ("c", 1), ("d e f g h", 2), ("i", 3))])
+    got = [(r["text"], r["page"]) for r in one(spark, tx.chunk_blocks(blocks, 4), t="x")]
+    assert got == [("a b\nc", 1), ("d e f g h", 2), ("i", 3)]
+
+
+def test_words_and_blocks(spark):
+    df = spark.createDataFrame([(1, "a b\n\nc\fd"), (2, "")], "id int, full_text string")
+    assert [(r["page"], r["block_no"], r["word"]) for r in files.words(df, ["id"]).orderBy("page", "block_no", "word_no").collect()] == [(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 1, "d")]
+
+
+def test_sql_registry(spark):
+    from docsmelt.functions import registry
+
+    registry.register(spark)
+    assert spark.sql("""select extract_json('so {"a": "}", "b": {"c": 1}} done') x""").first()["x"] == '{"a": "}", "b": {"c": 1}}'
+    assert registry.first_object("no { object") is None and registry.first_object(None) is None
+    assert [tuple(r)[:2] for r in spark.sql("select * from python_params('n_trials = 12')").collect()] == [("num_trials", "12")]
+    assert [tuple(r) for r in spark.sql("""select * from config_params('{"iti": 5}', 'json')""").collect()] == [("inter_trial_interval_ms", "5")]
+
+
+def test_field_answers(spark):
+    assert retrieve.field_queries(spark).count() == 17
+    r = one(spark, retrieve.parse_field(F.col("t")), t='```json\n{"value": "30", "page": 2, "quote": "was 30"}\n```')
+    assert (r["value"], r["confidence"], r["evidence"][0]["page"]) == ("30", 0.8, 2)
+
+
+def test_ask_model(spark):
+    ask = lambda mode, c, crit: one(spark, assist.ask_model(F.col("m"), F.col("c"), F.lit(crit)), m=mode, c=c)
+    assert ask("verify", 0.9, False) and ask("fallback", 0.2, False) and ask("fallback", 0.4, True) and not ask("fallback", 0.4, False)
+
+
+def test_store_script_views_and_export(spark, tmp_path):
+    store.run_sql(spark, "create or replace temp view tv as select 'a;b' as x; -- done\n")
+    assert spark.table("tv").first()["x"] == "a;b"
+    e = store.conform(spark.createDataFrame([("1", "p", "needs_review", 2.5)], "id string, paper_id string, entry_status string, age_mean double"), "experiments")
+    for fmt in ("json", "csv", "metalab", "psychds"):
+        store.export(e, str(tmp_path / fmt), fmt, ["1"])
+    assert "equipment" in spark.read.json(str(tmp_path / "json")).columns or spark.read.json(str(tmp_path / "json")).count() == 1
+    assert store.review_sheet(e).count() == 1
+    updates = spark.createDataFrame([("1", "validated")], "id string, entry_status string")
+    assert store.apply_status(e, updates).first()["entry_status"] == "validated"
+    with pytest.raises(ValueError):
+        store.export(e, str(tmp_path / "x"), "xml")
+    store.write_report({"part": e.select("id")}, str(tmp_path / "report"), spark)
+    assert spark.read.json(str(tmp_path / "report")).first()["part"] == "part"
+
+
+def test_experiment_rows_have_one_parent(spark):
+    p = spark.createDataFrame([("A", 1, "x", "1", 0.9), ("A", 2, "x", "2", 0.5), ("B", 1, "y", "3", 0.8)], "paper_id string, experiment int, param string, value string, confidence double")
+    got = {r["id"]: (r["parent_experiment_id"], r["is_multi_experiment"], r["entry_status"]) for r in store.experiment_rows(p).collect()}
+    assert got == {"A_E1": (None, True, "validated"), "A_E2": ("A_E1", True, "needs_review"), "B_E1": (None, False, "validated")}
+
+
+def test_shared_prefix_and_methods(spark):
+    df = spark.createDataFrame([(1, "Intro text\nExperiment 1: Alpha beta\nx\nMethods\nall of it\nResults\nr")], "id int, text string")
+    assert structure.shared_prefix(df, ["id"]).first()["text"].strip() == "Intro text"
+    shared = df.select(structure.shared_methods(F.col("text"), F.lit(1)).alias("m")).first()["m"]
+    assert shared.strip() == "Methods\nall of it"
+    assert df.select(structure.inject_methods(F.lit("Experiment 2\nbody"), F.lit("Methods\nm")).alias("t")).first()["t"] == "Experiment 2\nMethods\nm\nbody"
+
+
+def test_command_line_parses():
+    from docsmelt.cli import parser
+
+    assert parser().parse_args(["dedup", "a", "b", "--strategy", "last"]).strategy == "last"
