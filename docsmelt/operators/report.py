@@ -11,13 +11,13 @@ from docsmelt.functions.values import level_rank, lookup
 def coverage(params: DataFrame, scopes: DataFrame, scope: str, param: str = "param", value: str = "value", confidence: str | None = "confidence") -> DataFrame:
     """Per parameter: scopes that have it, of how many, percent, distinct values, mean confidence.
 
-    The total is one row, attached by a broadcast of that row.
+    The total is a scalar subquery.
     """
     aggs = [F.countDistinct(scope).alias("n"), F.countDistinct(F.col(value).cast("string")).alias("distinct_values")]
     if confidence:
         aggs.append(F.round(F.avg(confidence), 6).alias("avg_confidence"))
     total = scopes.select(scope).distinct().agg(F.count("*").alias("total"))
-    out = params.groupBy(param).agg(*aggs).crossJoin(F.broadcast(total))  # one row
+    out = params.groupBy(param).agg(*aggs).withColumn("total", total.scalar())
     return out.withColumn("pct", F.round(100.0 * F.col("n") / F.col("total"), 6))
 
 
@@ -44,11 +44,11 @@ def category_average(cover: DataFrame, categories: dict[str, str], param: str =
 def missing(params: DataFrame, scopes: DataFrame, all_params: DataFrame, scope: str, param: str = "param") -> DataFrame:
     """(scope, parameter) pairs that were not found.
 
-    Each scope is paired with a fixed, small parameter dimension as one array, then found
-    pairs go by an anti join on both keys.
+    Each scope is paired with the schema's names, one small array from a scalar subquery;
+    found pairs go by an anti join on both keys.
     """
-    names = F.broadcast(all_params.select(param).distinct().agg(F.array_sort(F.collect_set(param)).alias("names")))  # one row, the schema's names
-    pairs = scopes.select(scope).distinct().crossJoin(names).select(scope, F.explode("names").alias(param))
+    names = all_params.select(param).distinct().agg(F.array_sort(F.collect_set(param)).alias("names"))
+    pairs = scopes.select(scope).distinct().withColumn("names", names.scalar()).select(scope, F.explode("names").alias(param))
     return pairs.join(params.select(scope, param).distinct(), [scope, param], "left_anti")
 
 
@@ -64,7 +64,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
         F.count(F.when(F.col("success") & F.col("is_multi_experiment"), 1)).alias("multi"), F.sum(F.when(F.col("success"), F.col("num_experiments"))).alias("experiments"),
         F.sum(F.when(F.col("success"), F.aggregate("param_counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("params"),
     )
-    return out.withColumn("params_per_experiment", F.round(F.try_divide(F.col("params"), F.col("experiments")), 6)).crossJoin(F.broadcast(named))  # one row each
+    return out.withColumn("params_per_experiment", F.round(F.try_divide(F.col("params"), F.col("experiments")), 6)).withColumn("unique_params", named.scalar())
 
 
 def param_frequency(results: DataFrame, top: int = 20) -> DataFrame:

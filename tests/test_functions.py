@@ -280,3 +280,13 @@ def test_command_line_parses():
     from docsmelt.cli import parser
 
     assert parser().parse_args(["dedup", "a", "b", "--strategy", "last"]).strategy == "last"
+
+
+def test_batch_summary(spark):
+    from docsmelt.operators import report
+
+    rows = [("a", True, True, 2, [3, 4], ["x", "y"]), ("b", True, False, 1, [1], ["x"]), ("c", False, None, None, None, None)]
+    df = spark.createDataFrame(rows, "paper_name string, success boolean, is_multi_experiment boolean, num_experiments int, param_counts array<int>, all_params array<string>")
+    r = report.batch_summary(df).first()
+    assert (r["papers"], r["successes"], r["multi"], r["experiments"], r["params_per_experiment"], r["unique_params"]) == (3, 2, 1, 3, round(8 / 3, 6), 2)
+    assert [tuple(x) for x in report.param_frequency(df).collect()] == [("x", 2), ("y", 1)]
