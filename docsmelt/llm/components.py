@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsmelt.llm.common import materialise
+from docsmelt.llm.common import discard, scratch_dir
 
 
 def link_roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -32,9 +32,15 @@ def connected_components(links: DataFrame, a: str, b: str, *, most_rounds: int =
     most. Nulls and self links are left out; repeated links count once. A node's
     neighbours meet by aggregation (``min``) and a join, never as one list.
     """
+    spark, folder = links.sparkSession, scratch_dir(links.sparkSession)
+
+    def keep(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{k}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
+
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = materialise(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
+    edges = keep(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
+    for k in range(1, most_rounds + 1):
         # large star: for each node u, with m the least of u and its neighbours, v > u gets m
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -43,7 +49,8 @@ def connected_components(links: DataFrame, a: str, b: str, *, most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = materialise(small.where("u <> v").distinct(), "links")
+        new = keep(small.where("u <> v").distinct(), k)
+        discard(spark, f"{folder}/{k - 1}")  # nothing reads the round before any more
         # it is over when every node links to one root and no root links on
         state = new.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
         deep = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
