@@ -20,7 +20,7 @@ from docsmelt.llm.common import gather_ranges
 #: Words up to this many bytes are merged by scanning the rank array, longer ones by a heap.
 SHORT_WORD = 96
 #: Words kept by a worker before it forgets them all and starts again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 NO_RANK = np.iinfo(np.int32).max
 
@@ -164,10 +164,10 @@ class ByteBpe:
         self.forget()
 
     def forget(self):
-        self.known: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted keys and their words' slots
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = self.count = 0
-        self.begins, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.begins, self.sizes = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Merge new words and keep their ids; returns their slots."""
@@ -234,17 +234,22 @@ class ByteBpe:
         starts, ends = starts[keep], ends[keep]
         keys = ts.span_hash(ts.prefix_sums(ts.mix(points.astype(np.uint64) + np.uint64(1))), starts, ends)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
+        if len(self.keys) + len(distinct) > CACHE_WORDS:
             self.forget()
-        known = self.known
-        slots = np.fromiter((known.get(key, -1) for key in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(slots < 0)
+        at_key = np.searchsorted(self.keys, distinct)
+        hit = np.zeros(len(distinct), bool)
+        inside = np.flatnonzero(at_key < len(self.keys))
+        hit[inside] = self.keys[at_key[inside]] == distinct[inside]
+        slots = np.empty(len(distinct), np.int32)
+        slots[hit] = self.slots[at_key[hit]]
+        new = np.flatnonzero(~hit)
         if len(new):
             a, b = starts[at[new]].tolist(), ends[at[new]].tolist()
             slots[new] = self._learn([big[i:j].encode() for i, j in zip(a, b)])
-            known.update(zip(distinct[new].tolist(), slots[new].tolist()))
-        sizes = self.sizes[slots][back]
-        ids = self.pool[gather_ranges(self.begins[slots][back], sizes)]
+            self.keys = np.insert(self.keys, at_key[new], distinct[new])
+            self.slots = np.insert(self.slots, at_key[new], slots[new])
+        sizes = self.sizes[slots][back].astype(np.int64)
+        ids = self.pool[gather_ranges(self.begins[slots][back].astype(np.int64), sizes)]
         return ids, np.concatenate(([0], np.cumsum(sizes)))[word_first]
 
     def decode(self, ids: np.ndarray) -> str:

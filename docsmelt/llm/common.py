@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds the temporary arrays of a task.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:

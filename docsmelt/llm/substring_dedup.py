@@ -24,7 +24,7 @@ from docsmelt.llm import textscan as ts
 from docsmelt.llm.common import passes
 
 #: Text bytes aimed at for one batch, and words for one bucket of hashes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 20
 #: Hashes that a batch has for a bucket at least, on average, so that rows don't get tiny.
 LEAST_PER_ROW = 256
