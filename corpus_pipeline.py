@@ -10,14 +10,16 @@ from docsmelt.llm.common import documents, materialise
 from docsmelt.llm.packing import pack_documents
 from docsmelt.llm.pii import replace_entities
 from docsmelt.llm.quality import fit_quality, quality_scores
-from docsmelt.llm.simhash import near_duplicates
+from docsmelt.llm.shingle_sets import similar_texts
 from docsmelt.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("lang", "source", "n_chars")
 
-#: Near-duplicates: fingerprints of five-word shingles, 128 bits, that differ in 24 bits at most (a similarity of about 0.8).
-SHINGLE, WORDS, RADIUS = 5, 2, 24
+#: Near-duplicates: sets of five-word shingles with this Jaccard similarity or more.
+SHINGLE, SIMILARITY = 5, 0.8
+#: The radius over 128-bit fingerprints that stood for the similarity before; read by test_pipeline_stage_by_stage only.
+RADIUS = 24
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -30,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; documents without words all stay."""
-    groups = near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, words=WORDS)
+    groups = similar_texts(docs, SHINGLE, SIMILARITY)
     stay = groups.where((F.col("component_id") == F.col("doc_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").select(*COLUMNS)
 
