@@ -276,16 +276,17 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     Letters A-Z are lowered; words are ``[^\\x20\\x09-\\x0D]+``; a text is the set of its
     shingles of ``shingle`` words, a shorter text is one shingle. Texts with the same set
-    are one node. Texts without words are one another's copies and like no other. Rows
-    with a null id take part as links but never name a component unless all ids of it are
-    null. Repeated rows give repeated results; an empty table gives none.
+    are one node. A text without words has no shingle and links to none. Rows with a null
+    id take part as links but never name a component unless all ids of it are null.
+    Repeated rows give repeated results; an empty table gives none.
     """
     rule = Similarity(similarity)
     rows = materialise(text_sets(df, shingle, id_col, text_col).withColumn("at", F.monotonically_increasing_id()), "sets")
-    nodes = materialise(rows.groupBy("set", "size", "sketch").agg(F.min("id").alias("least"), F.min("at").alias("at")), "nodes")
-    some = nodes.where("size > 0")
-    roots = confirmed(some, rows, candidate_links(some, rule), rule)
+    worded = rows.where("size > 0")
+    nodes = materialise(worded.groupBy("set", "size", "sketch").agg(F.min("id").alias("least"), F.min("at").alias("at")), "nodes")
+    roots = confirmed(nodes, rows, candidate_links(nodes, rule), rule)
     grouped = nodes.select("set", "at", "least").join(roots, "at", "left").select("set", "least", F.coalesce("root", "at").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.join(named, "root").select("set", "component_id")
-    return rows.select("id", "set").join(labels, "set").select(F.col("id").alias(id_col), "component_id")
+    found = worded.select("id", "set").join(labels, "set").select(F.col("id").alias(id_col), "component_id")
+    return found.unionByName(rows.where("size = 0").select(F.col("id").alias(id_col), F.col("id").alias("component_id")))

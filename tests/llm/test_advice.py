@@ -69,6 +69,15 @@ def test_similarity_of_exactly_four_fifths_links(spark):
     assert [r["component_id"] for r in shingle_sets.similar_texts(documents(spark, texts)).orderBy("doc_id").collect()] == [0, 0, 2]
 
 
+def test_texts_without_words_and_short_texts_stay(spark):
+    import corpus_pipeline as pipeline
+
+    short = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(150)]  # some have few bits set in a fingerprint
+    texts = [None, "", " \n", "\t", *short, "two words", "Two words"]
+    stay = pipeline.near_dedup(spark, documents(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in stay) == list(range(len(texts) - 1))
+
+
 def test_sketches_tell_no_similar_sets_apart(monkeypatch):
     monkeypatch.setattr(shingle_sets, "BLOCK", 8)
     rng, rule = np.random.default_rng(5), shingle_sets.Similarity(0.8)
