@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from docsmelt.llm import shingle_sets
+from docsmelt.llm import pii, shingle_sets
 
 SPACE = r"[^\x20\x09-\x0d]+"
 
@@ -94,3 +94,21 @@ def test_sketches_tell_no_similar_sets_apart(monkeypatch):
     pairs = {(i, j) for a, b in shingle_sets.candidate_pairs(side, side, True, rule) for i, j in zip(a.tolist(), b.tolist())}
     similar = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
     assert similar and similar <= pairs and len(pairs) < len(sets) ** 2 / 8
+
+
+# --- 8: PII -----------------------------------------------------------------------------
+
+
+def test_every_pattern_is_found_alone_in_a_text(spark):
+    alone = [
+        ("email", "x@y.org"), ("ip", "1.2.3.4"), ("card", "4994-2260-2090-0891"), ("ssn", "123-45-6789"),
+        ("phone", "743-555-3824"), ("phone", "(74) 555-3824"), ("phone", "+1 743.555.3824"), ("phone", "+33 12 34 56 78"), ("phone", "+49-30-12-34-56"), ("phone", "+4 12.34.56"),
+        ("iban", "GB82 WEST ABCD EFGH"), ("iban", "MT84MALTAB12CD34EF56"), ("iban", "DE89 3704 0044 0532 0130 00"),
+        ("secret", "ab" * 16), ("secret", "AB" * 16), ("secret", "a1" * 16), *[("secret", f"{p}{s}abcdefghijklmnop") for p in ("sk", "pk", "ghp", "gho", "AKIA") for s in ("", "_", "-")],
+        ("name", "Mary Jones"), *[("name", f"{a} Smith") for a in pii.ADDRESS], *[("name", f"{n} Smith") for k, v in pii.GIVEN_NAMES.items() if k[1] == "latin" for n in v],
+    ]
+    df = documents(spark, [f"so {v} it" for _, v in alone])
+    kinds = [r[0] for r in documents(spark, [v for _, v in alone]).orderBy("doc_id").select(pii.kind_of(F.col("text"))).collect()]
+    got = {r["doc_id"]: r for r in pii.replace_entities(df).collect()}
+    for i, (kind, v) in enumerate(alone):
+        assert (kinds[i], got[i]["n_entities"]) == (kind, 1) and v not in got[i]["text"], v
