@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsmelt.llm.common import gather_ranges
 from docsmelt.llm.vector_blocks import per_query, search_blocks, valid_vectors
 
 #: Pivots: valid vectors with the least hashes, a bounded sample that is broadcast.
@@ -40,7 +41,7 @@ class PermutationIndex:
         return np.argsort(far, axis=1, kind="stable")[:, : self.places]
 
     def near(self, orders: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` rows nearest to an order by footrule distance; all, if they are fewer."""
+        """The ``count`` rows nearest to an order by footrule distance, ties to the earlier row; all, if they are fewer."""
         n = len(self.vectors)
         if n <= count:
             return np.arange(n)
@@ -48,7 +49,27 @@ class PermutationIndex:
         for place, pivot in enumerate(orders.tolist()):
             a, b = self.first[pivot], self.first[pivot + 1]
             shared[self.rows[a:b]] += (self.places - np.maximum(self.place[a:b], place)).astype(np.int32)
-        return np.sort(np.argpartition(-shared, count)[:count])
+        return np.sort(np.argpartition(np.arange(n) - shared.astype(np.int64) * n, count)[:count])
+
+
+class Copies:
+    """Rows with equal vectors, indexed as one: ``distinct`` numbers the first row of each vector."""
+
+    def __init__(self, rows: np.ndarray):
+        raw = np.ascontiguousarray(rows + 0.0)  # -0.0 is 0.0
+        _, first, which = np.unique(raw.view(f"V{raw.dtype.itemsize * raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(first)  # vectors in the order of their first rows
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.distinct = first[order]
+        which = place[which]
+        self.rows = np.argsort(which, kind="stable")
+        self.cuts = np.searchsorted(which[self.rows], np.arange(len(order) + 1))
+
+    def members(self, vectors: np.ndarray, most: int) -> np.ndarray:
+        """The first ``most`` rows of each of some vectors, all ascending."""
+        size = np.minimum(np.diff(self.cuts)[vectors], most)
+        return np.sort(self.rows[gather_ranges(self.cuts[vectors], size)])
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
@@ -72,7 +93,7 @@ def nearest(
 
     Which rows are found is approximate; scores are exact, in double precision. Queries
     are the rows where ``is_query`` (over the column ``id``) holds; candidates are all rows
-    but those with the query's own id, every row is indexed. Ties go to the smaller
+    but those with the query's own id, every distinct vector is indexed. Ties go to the smaller
     vec_id. Rows with a null id, a null, zero or empty vector, null or non-finite
     components, or another number of components than most take no part. Repeated rows are
     candidates each; repeated queries are one. An empty table gives none. Other columns
@@ -83,10 +104,13 @@ def nearest(
     shared = df.sparkSession.sparkContext.broadcast(chosen)
 
     def search(ids, rows, query_ids, queries):
-        index, out = PermutationIndex(rows, shared.value, places), []
+        copies, out = Copies(rows), []
+        index = PermutationIndex(rows[copies.distinct], shared.value, places)
         count = max(rerank, k, int(rerank_part * len(rows)))
+        own = dict(zip(*np.unique(ids, return_counts=True)))
         for j, order in enumerate(index.order(queries)):
-            found = index.near(order, count)
+            # k rows of a vector are enough beside those with the query's own id
+            found = copies.members(index.near(order, count), k + int(own.get(query_ids[j], 0)))
             found = found[ids[found] != query_ids[j]]
             out.append(per_query(j, found, (rows[found] * queries[j]).sum(axis=1), k))
         return tuple(np.concatenate(x) for x in zip(*out))

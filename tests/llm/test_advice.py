@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docsmelt.llm import pii, shingle_sets
+from docsmelt.llm.impact_index import every
+from docsmelt.llm.permutation_index import nearest
 
 SPACE = r"[^\x20\x09-\x0d]+"
 
@@ -112,3 +114,25 @@ def test_every_pattern_is_found_alone_in_a_text(spark):
     got = {r["doc_id"]: r for r in pii.replace_entities(df).collect()}
     for i, (kind, v) in enumerate(alone):
         assert (kinds[i], got[i]["n_entities"]) == (kind, 1) and v not in got[i]["text"], v
+
+
+# --- 3: nearest neighbours with a hot vector ----------------------------------------------
+
+
+def test_op3_keeps_the_smallest_ids_of_a_hot_vector(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 12)) / 3
+    v[7] *= 3  # long, so the nearest to many
+    v[rng.permutation(3000)[:1000]] = v[7]  # a third of the rows, and more than are reranked
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, every(100)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits, hot = [], []
+    for q in range(0, 3000, 100):
+        score = (v * v[q]).sum(axis=1)
+        want = sorted((i for i in range(3000) if i != q), key=lambda i: (-score[i], i))[:20]
+        hits.append(len(set(want) & set(got[q])) / 20)
+        if (v[want] == v[7]).all():
+            hot.append(got[q] == want)
+    assert hot and all(hot) and np.mean(hits) >= 0.9
