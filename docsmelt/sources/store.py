@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -167,9 +167,13 @@ def run_sql(spark: SparkSession, script: str) -> list[DataFrame]:
 
 
 def write_report(parts: dict[str, DataFrame], path: str, spark: SparkSession) -> None:
-    """Named small results as one JSON file of lines: part, row number and the row."""
-    rows = [(name, i, row) for name, df in parts.items() for i, row in enumerate(df.limit(1000).toJSON().collect())]
-    spark.createDataFrame(rows, "part string, row int, value string").coalesce(1).write.mode("overwrite").json(path)
+    """Named results, whole and in their order, as one JSON file of lines: part, row number and the row."""
+    out = spark.createDataFrame([], "part string, row int, value string")
+    for name, df in parts.items():
+        lines = df.select(F.to_json(F.struct("*")).alias("value"), F.monotonically_increasing_id().alias("_at"))
+        row = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("_at")) - 1
+        out = out.unionByName(lines.select(F.lit(name).alias("part"), row.alias("row"), "value"))
+    out.coalesce(1).write.mode("overwrite").json(path)
 
 
 def log_usage(calls: DataFrame, path: str) -> None:
