@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by a permutation index (operator 3).
 
-A vector is represented by its nearest pivots in order. Each pivot's inverted file posts
-the rows that have it among theirs, with its place. The footrule distance of two such
-orders, with missing pivots at the end, falls by twice (places - the later of the two
-places) for each shared pivot, so walking the files of a query's pivots ranks all rows
-that share one. The nearest by footrule are reranked by the exact inner product.
+Largest inner products become least distances by one added component: a vector x gets
+sqrt(M^2 - |x|^2), with M the largest norm of the table, and a query, which ranks the same
+at any length, is brought to norm M and gets zero. A vector is represented by its nearest
+pivots in order. Each pivot's inverted file posts the vectors that have it among theirs,
+with its place. The footrule distance of two such orders, with missing pivots at the end,
+falls by twice (places - the later of the two places) for each shared pivot, so walking the
+files of a query's pivots ranks all vectors that share one. The nearest by footrule are
+reranked by the exact inner product.
 """
 
 from __future__ import annotations
@@ -13,69 +16,75 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsmelt.llm.common import gather_ranges
-from docsmelt.llm.vector_blocks import per_query, search_blocks, valid_vectors
+from docsmelt.llm.vector_blocks import Block, search_blocks, valid_vectors
 
 #: Pivots: valid vectors with the least hashes, a bounded sample that is broadcast.
 PIVOTS = 512
 #: Pivots in the order that represents a vector.
-PLACES = 64
-#: Rows of a block that are reranked, at least, and as a part of the block.
-RERANK, RERANK_PART = 400, 0.14
+PLACES = 128
+#: Distinct vectors of a block that are reranked, at least, and as a part of the block.
+RERANK, RERANK_PART = 400, 0.05
+#: Rows whose distances to all pivots are formed at once.
+ORDER_ROWS = 2_048
 
 
 class PermutationIndex:
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, places: int):
-        self.vectors, self.pivots = vectors, pivots
-        self.places = min(places, len(pivots))
-        orders = self.order(vectors)
+    """Index of distinct vectors whose norms are ``longest`` at most."""
+
+    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, places: int, longest: float):
+        self.longest, self.places = longest, min(places, len(pivots))
+        self.pivots = np.hstack((pivots, self.added(pivots)))
+        orders = self.order(np.hstack((vectors, self.added(vectors))))
         flat = orders.ravel()
         post = np.argsort(flat, kind="stable")
-        self.rows = post // self.places
-        self.place = post % self.places
         self.first = np.searchsorted(flat[post], np.arange(len(pivots) + 1))
+        self.rows = post // self.places
+        self.kind = np.int16 if self.places < 181 else np.int32  # holds the sum of all places
+        self.place = (post % self.places).astype(self.kind)
+        self.size = len(vectors)
+
+    def added(self, vectors: np.ndarray) -> np.ndarray:
+        """The component that brings vectors to the largest norm."""
+        return np.sqrt(np.maximum(self.longest**2 - (vectors**2).sum(axis=1, keepdims=True), 0))
 
     def order(self, vectors: np.ndarray) -> np.ndarray:
         """Each vector's nearest pivots (Euclidean), nearest first, ties to the earlier pivot."""
-        far = (self.pivots**2).sum(1)[None, :] - 2 * (vectors @ self.pivots.T)
-        return np.argsort(far, axis=1, kind="stable")[:, : self.places]
+        out = np.empty((len(vectors), self.places), np.int16)
+        for i in range(0, len(vectors), ORDER_ROWS):
+            far = (self.pivots**2).sum(axis=1)[None, :] - 2 * (vectors[i : i + ORDER_ROWS] @ self.pivots.T)
+            out[i : i + ORDER_ROWS] = np.argsort(far, axis=1, kind="stable")[:, : self.places]
+        return out
+
+    def order_of_queries(self, queries: np.ndarray) -> np.ndarray:
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)  # so that no square over- or underflows
+        unit *= self.longest / np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        return self.order(np.hstack((unit, np.zeros((len(unit), 1)))))
 
     def near(self, orders: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` rows nearest to an order by footrule distance, ties to the earlier row; all, if they are fewer."""
-        n = len(self.vectors)
-        if n <= count:
-            return np.arange(n)
-        shared = np.zeros(n, np.int32)
+        """The ``count`` vectors nearest to an order by footrule distance, ties to the earlier one; all, if they are fewer."""
+        if self.size <= count:
+            return np.arange(self.size)
+        shared = np.zeros(self.size, self.kind)
         for place, pivot in enumerate(orders.tolist()):
             a, b = self.first[pivot], self.first[pivot + 1]
-            shared[self.rows[a:b]] += (self.places - np.maximum(self.place[a:b], place)).astype(np.int32)
-        return np.sort(np.argpartition(np.arange(n) - shared.astype(np.int64) * n, count)[:count])
+            shared[self.rows[a:b]] += self.kind(self.places) - np.maximum(self.place[a:b], self.kind(place))
+        return np.sort(np.argpartition(np.arange(self.size) - shared.astype(np.int64) * self.size, count)[:count])
 
 
-class Copies:
-    """Rows with equal vectors, indexed as one: ``distinct`` numbers the first row of each vector."""
+def choose_pivots(vectors: DataFrame, rows: int, count: int) -> np.ndarray:
+    """At most ``count`` distinct vectors, those with the least hashes.
 
-    def __init__(self, rows: np.ndarray):
-        raw = np.ascontiguousarray(rows + 0.0)  # -0.0 is 0.0
-        _, first, which = np.unique(raw.view(f"V{raw.dtype.itemsize * raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(first)  # vectors in the order of their first rows
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.distinct = first[order]
-        which = place[which]
-        self.rows = np.argsort(which, kind="stable")
-        self.cuts = np.searchsorted(which[self.rows], np.arange(len(order) + 1))
-
-    def members(self, vectors: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` rows of each of some vectors, all ascending."""
-        size = np.minimum(np.diff(self.cuts)[vectors], most)
-        return np.sort(self.rows[gather_ranges(self.cuts[vectors], size)])
-
-
-def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """At most ``count`` distinct vectors, those with the least hashes."""
-    rows = vectors.select("vec").groupBy("vec").count().select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(count).collect()
-    return np.array([r["vec"] for r in rows], float)
+    Only rows with hashes in the least part that holds some times as many, going by their
+    number, are made distinct; all rows, where copies leave too few.
+    """
+    hashed = vectors.select("vec", F.xxhash64("vec").alias("h"))
+    part = min(1.0, 8 * count / max(1, rows))
+    for share in (part, 1.0) if part < 1 else (1.0,):
+        least = hashed if share == 1.0 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+        found = least.groupBy("h", "vec").count().orderBy("h", "vec").limit(count).select("vec").collect()
+        if len(found) == count:
+            break
+    return np.array([r["vec"] for r in found], float)
 
 
 def nearest(
@@ -99,20 +108,23 @@ def nearest(
     candidates each; repeated queries are one. An empty table gives none. Other columns
     play no part.
     """
-    vectors = valid_vectors(df, id_col, vector_col, True)
-    chosen = choose_pivots(vectors, pivots)
-    shared = df.sparkSession.sparkContext.broadcast(chosen)
-
-    def search(ids, rows, query_ids, queries):
-        copies, out = Copies(rows), []
-        index = PermutationIndex(rows[copies.distinct], shared.value, places)
-        count = max(rerank, k, int(rerank_part * len(rows)))
-        own = dict(zip(*np.unique(ids, return_counts=True)))
-        for j, order in enumerate(index.order(queries)):
-            # k rows of a vector are enough beside those with the query's own id
-            found = copies.members(index.near(order, count), k + int(own.get(query_ids[j], 0)))
-            found = found[ids[found] != query_ids[j]]
-            out.append(per_query(j, found, (rows[found] * queries[j]).sum(axis=1), k))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    return search_blocks(vectors, is_query, k, search, "double")
+    vectors, rows, components, longest = valid_vectors(df, id_col, vector_col, True)
+    shared = df.sparkSession.sparkContext.broadcast((choose_pivots(vectors, rows, pivots), longest))
+
+    def index(block: Block):
+        made = PermutationIndex(block.vectors, shared.value[0], places, shared.value[1])
+        count = max(rerank, k, int(rerank_part * made.size))
+
+        def search(ids: np.ndarray, queries: np.ndarray):
+            out = []
+            for j, order in enumerate(made.order_of_queries(queries)):
+                found = made.near(order, count)
+                found = found[~block.lone[found] | (block.first[found] != ids[j])]  # each has a row besides the query's own
+                scores = (block.vectors[found] * queries[j]).sum(axis=1)
+                some = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+                out.append(block.best(np.full(len(some), j), found[some], scores[some], ids))
+            return tuple(np.concatenate(x) for x in zip(*out))
+
+        return search
+
+    return search_blocks(vectors, rows, components, is_query, k, index, "double")

@@ -17,10 +17,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docsmelt.llm import bpe, packing, pii, quality, simhash, substring_dedup, token_counts, token_files, token_ops
+from docsmelt.llm import bpe, impact_index, packing, permutation_index, pii, quality, simhash, substring_dedup, token_counts, token_files, token_ops, vector_blocks
 from docsmelt.llm.components import connected_components
 from docsmelt.llm.impact_index import ImpactIndex, every, top_k
 from docsmelt.llm.permutation_index import nearest
+from docsmelt.llm.vector_blocks import Block
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -350,16 +351,84 @@ def test_op1(spark):
     assert top_k(df.where("vec_id in (50, 51, 52)"), every(50)).count() == 2
 
 
-def test_impact_index_on_integers_with_zeros_and_ties():
+def brute_rows(ids, values, copies, query_ids, queries, k):
+    rows = [(int(i), [int(x) for x in v]) for i, v, n in zip(ids, values.tolist(), copies) for _ in range(n)]
+    out = []
+    for j, (own, q) in enumerate(zip(query_ids, queries.tolist())):
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(v, q)), i) for i, v in rows if i != own)[:k]
+        out += [(j, i, -s) for s, i in best]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "small integers", "varied norms", "large", "hot vector", "zeros", "varied components", "huge"])
+def test_impact_index_by_brute_force(monkeypatch, kind):
+    monkeypatch.setattr(impact_index, "TILE_ROWS", 64)
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        v = rng.integers(-4, 5, (150, 6))
-        q = rng.integers(-4, 5, 6)
-        rows, scores = ImpactIndex(v).top(q, 5, np.array([3]))
-        alive = np.delete(np.arange(150), 3)
-        best = sorted((v[alive] @ q).tolist(), reverse=True)[:5]
-        assert sorted(scores.tolist(), reverse=True)[:5] == best
-        assert set(alive[(v[alive] @ q) >= best[-1]]) <= set(rows.tolist())  # all ties are there
+    for _ in range(6):
+        n, d, k = int(rng.integers(1, 300)), int(rng.integers(1, 20)), int(rng.integers(1, 7))
+        v = rng.normal(size=(n, d))
+        if kind == "small integers":
+            v = rng.integers(-4, 5, (n, d)) / 256
+        elif kind == "varied norms":
+            v *= rng.lognormal(0, 2, n)[:, None]
+        elif kind == "large":
+            v *= 1e6
+        elif kind == "hot vector":
+            v[rng.random(n) < 0.4] = v[0]
+        elif kind == "zeros":
+            v *= 0
+        elif kind == "varied components":
+            v *= 2.0 ** rng.integers(-40, 20, n)[:, None]
+        elif kind == "huge":  # quantised values beyond 2**53, scores still within 64 bits
+            v = np.where(np.arange(n) % 2, 1e14, 1e-3)[:, None] * np.sign(v) * np.eye(1, d)
+        rows = Counter(zip(rng.integers(0, max(2, n // 2), n).tolist(), map(tuple, (v + 0.0).tolist())))
+        ids, v, copies = np.array([i for i, _ in rows]), np.array([x for _, x in rows]), np.array(list(rows.values()))
+        values, ask = impact_index.quantise(v, 256), rng.permutation(len(ids))[:12]
+        if kind == "huge":
+            ask = ask[np.abs(v[ask, 0]) < 1]  # large by large is the overflow of the next test
+            if not len(ask):
+                continue
+        block = Block(ids, v, copies, k)
+        got = ImpactIndex(impact_index.quantise(block.vectors, 256), block).search(ids[ask], values[ask])
+        assert list(zip(*(x.tolist() for x in got))) == brute_rows(ids, values, copies, ids[ask], values[ask], k)
+
+
+def test_op1_large_components_are_not_cut(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (1, [6e5, 0.0]), (2, [1e6, 0.0]), (3, [2e6, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in top_k(df, every(50)).orderBy("rank").collect()] == [(3, 131072000000), (2, 65536000000), (1, 39321600000)]
+    huge = spark.createDataFrame([(50, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        top_k(huge, every(50)).collect()
+
+
+def test_op1_in_many_blocks_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "LEAST_ROWS", 16)
+    monkeypatch.setattr(vector_blocks, "BLOCK_VALUES", 12 * 100)
+    monkeypatch.setattr(vector_blocks, "QUERY_ROWS", 7)
+    df = vectors(spark)
+    twice = df.unionByName(df.where("vec_id % 3 = 0"))
+    rows = [(r["vec_id"], r["embedding"]) for r in twice.collect()]
+    quantised = lambda a, b: int((np.floor(256 * a).astype(np.int64) * np.floor(256 * b).astype(np.int64)).sum())
+    want, got = brute_top(rows, 50, 5, quantised, False), {}
+    for r in sorted(top_k(twice, every(50)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want
+
+
+@pytest.mark.parametrize("norms", ["unit", "gaussian", "lognormal", "wide lognormal"])
+def test_op3_recall_with_default_settings(norms):
+    rng = np.random.default_rng(6)
+    n = 16_384
+    v = rng.normal(size=(n, 64))
+    if norms != "gaussian":
+        v /= np.linalg.norm(v, axis=1)[:, None]
+    v *= rng.lognormal(0, {"lognormal": 0.5, "wide lognormal": 1.0}.get(norms, 0), n)[:, None]
+    index = permutation_index.PermutationIndex(v, v[rng.permutation(n)[: permutation_index.PIVOTS]], permutation_index.PLACES, float(np.linalg.norm(v, axis=1).max()))
+    asked, hits = rng.permutation(n)[:100], []
+    for q, order in zip(asked, index.order_of_queries(v[asked])):
+        found = index.near(order, int(permutation_index.RERANK_PART * n))
+        hits.append(len(np.intersect1d(found, np.argsort(-(v @ v[q]), kind="stable")[:20])) / 20)
+    assert np.mean(hits) >= 0.93
 
 
 def test_op3_is_exact_on_small_tables_and_recalls_enough(spark):
