@@ -4,8 +4,9 @@ A data set is a folder of pairs of files, one pair for each range of document id
 
 ``part-NNNNN.tokens.arrow``  rows of equal length: ``ids`` fixed_size_list<T>[L], T the
     least of uint16 and uint32 that holds the vocabulary, and ``mask``
-    fixed_size_list<uint8>[L], 1 where an id is real; only a file's last row has 0. Row r of a file holds its ids r*L to r*L + L - 1, so a memory-mapped reader
-    reaches any sequence and mask without a copy and without reading what lies before it.
+    fixed_size_list<bool>[L], true where an id is real; only a file's last row has
+    false. Row r of a file holds its ids r*L to r*L + L - 1, so a memory-mapped reader
+    reaches any sequence without a copy and without reading what lies before it.
 ``part-NNNNN.docs.arrow``  doc_id, start (in the file) and n_tokens of its documents, in
     ascending order of doc_id.
 
@@ -57,7 +58,7 @@ class TokenWriter:
         self.length, self.id_type = length, id_type
         self.final = f"{base}/part-{part:05d}"
         self.temp = f"{base}/_{uuid.uuid4().hex}"
-        tokens = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(id_type), length)), ("mask", pa.list_(pa.uint8(), length))])
+        tokens = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(id_type), length)), ("mask", pa.list_(pa.bool_(), length))])
         docs = pa.schema([("doc_id", doc_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(f"{self.temp}.{kind}") for kind in ("tokens", "docs")]
         self.tokens, self.docs = (pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (tokens, docs)))
@@ -82,8 +83,8 @@ class TokenWriter:
         return pa.schema([("doc_id", doc_ids.type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def _write(self, flat: np.ndarray, real: int):
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(flat), bool)
+        mask[:real] = True
         self.tokens.write_batch(pa.RecordBatch.from_arrays([_fixed(flat, self.length), _fixed(mask, self.length)], ["ids", "mask"]))
 
     def close(self):
@@ -111,12 +112,16 @@ class TokenReader:
         self.length = self.tokens.schema.field("ids").type.list_size
         self._at, self._held = -1, None
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row; views of the map, where the file is local."""
+    def arrow(self, row: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of one row as Arrow arrays; both are views of the map, where the file is local."""
         batch = self._batch(row // BATCH_ROWS)
         a = row % BATCH_ROWS * self.length
-        ids, mask = (c.flatten().slice(a, self.length) for c in batch.columns)
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True).view(bool)
+        return tuple(c.flatten().slice(a, self.length) for c in batch.columns)
+
+    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (a view of the map, where the file is local) and mask (one byte for each bit) of one row."""
+        ids, mask = self.arrow(row)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def _batch(self, k: int) -> pa.RecordBatch:
         if k != self._at:
@@ -162,9 +167,10 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, end_id: int = 2, l
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "tokens"])
 
-    # the second key spreads rows of one id (or none); a hash, so that range sampling never carries texts
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    order = keyed.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
+    # the second key spreads rows of one id (or none), the third those that are equal in text too;
+    # a hash, so that range sampling never carries texts
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
+    order = keyed.repartitionByRange(parts, "id", "h", "n").sortWithinPartitions("id", "h", "text").drop("h", "n")
     manifest = f"{folder}/manifest"
     order.mapInArrow(run, "part bigint, tokens bigint").write.parquet(manifest)
     return spark.read.schema("part bigint, tokens bigint").parquet(manifest)

@@ -190,6 +190,10 @@ def test_op10(spark, byte_library, monkeypatch, tmp_path):
         for k in range(sum(reader.tokens.get_batch(b).num_rows for b in range(reader.tokens.num_record_batches))):
             ids, mask = reader.sequence(k)
             assert len(ids) == len(mask) == 2048
+            views = reader.arrow(k)
+            spans = [(b.address, b.address + b.size) for c in reader.tokens.get_batch(k // token_files.BATCH_ROWS).columns for b in c.buffers() if b is not None]
+            assert all(any(a <= v.buffers()[1].address < b for a, b in spans) for v in views)  # the map's own memory
+            assert views[0].to_pylist() == ids.tolist() and views[1].to_pylist() == mask.tolist()
             read += ids[mask].tolist()
     assert read == stream
     assert token_files.token_files(empty(spark), BYTE, f"file://{tmp_path}/none").count() == 0
