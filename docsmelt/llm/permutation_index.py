@@ -21,9 +21,9 @@ from docsmelt.llm.vector_blocks import Block, search_blocks, valid_vectors
 #: Pivots: valid vectors with the least hashes, a bounded sample that is broadcast.
 PIVOTS = 512
 #: Pivots in the order that represents a vector.
-PLACES = 128
+PLACES = 96
 #: Distinct vectors of a block that are reranked, at least, and as a part of the block.
-RERANK, RERANK_PART = 400, 0.05
+RERANK, RERANK_PART = 400, 0.06
 #: Rows whose distances to all pivots are formed at once.
 ORDER_ROWS = 2_048
 

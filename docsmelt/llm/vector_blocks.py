@@ -120,7 +120,7 @@ def search_blocks(
     everywhere = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: target(b, True))
     sent = once.select("id", "vec", "copies", F.explode(F.when(is_query, F.concat(home, everywhere)).otherwise(home)).alias("to"))
     rows = sent.select("to.block", "to.asks", "id", F.when(F.col("to.asks"), F.xxhash64("vec")).otherwise(0).alias("twin"), "copies", "vec")
-    rows = rows.repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
+    rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks", "id")
     kind = pa.int64() if score_type == "bigint" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]):
