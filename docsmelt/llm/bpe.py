@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -258,16 +259,17 @@ class ByteBpe:
 
 
 def _cut(text: str, special: dict[str, int]):
-    """Text between special strings and the id of the one that ends it, or -1."""
+    """Text between special strings and the id of the one that ends it, or -1; one pass, of strings that begin together the longest wins."""
     at = 0
-    while True:
-        found = [(p, -len(s), s) for s in special if (p := text.find(s, at)) >= 0]
-        if not found:
-            yield text[at:], -1
-            return
-        p, _, s = min(found)
-        yield text[at:p], special[s]
-        at = p + len(s)
+    for found in _special_pattern(tuple(special)).finditer(text) if special else ():
+        yield text[at : found.start()], special[found[0]]
+        at = found.end()
+    yield text[at:], -1
+
+
+@lru_cache(16)
+def _special_pattern(special: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)))
 
 
 def word_starts(points: np.ndarray, stops: np.ndarray) -> np.ndarray:
