@@ -101,6 +101,13 @@ def test_op5_digests(spark, byte_library):
     assert full[7]["decoded"] == TEXTS[7] and full[0]["ids"] == []
 
 
+def test_special_strings_are_cut_in_one_pass():
+    special = {"<|a|>": 1, "<|a|>>": 2, "<|b|>": 3}
+    assert list(bpe._cut("x<|a|>>y<|b|><|a|>", special)) == [("x", 2), ("y", 3), ("", 1), ("", -1)]
+    assert list(bpe._cut("plain", {})) == [("plain", -1)]
+    assert sum(1 for _ in bpe._cut("<|a|>" * 200_000, special)) == 200_001  # quadratic, this would take minutes
+
+
 # --- 4: token counts --------------------------------------------------------------------
 
 
@@ -253,6 +260,33 @@ def test_op2_repeated_rows_and_null_ids(spark):
     assert sorted(r["n_removed"] for r in rows) == [0, 40, 40]
 
 
+def test_op2_rows_between_batches_and_buckets_stay_full_at_any_size():
+    for size in (10**6, 10**9, 10**12, 10**14, 10**16):
+        batches, buckets = substring_dedup.layout(size)
+        words = size / substring_dedup.WORD_BYTES
+        assert batches == 1 or words / batches / buckets >= substring_dedup.LEAST_PER_ROW / 2
+        assert words / buckets <= 1.01 * max(substring_dedup.BUCKET_WORDS, (substring_dedup.LEAST_PER_ROW * words) ** 0.5)
+    assert substring_dedup.layout(10**14)[1] > 2730
+
+
+def test_op2_windows_that_agree_in_one_hash_are_told_apart():
+    a = np.array([5, 5, 5, 9], np.uint64)
+    values = substring_dedup.wide_of(a, np.array([1, 2, 1, 3], np.uint32))
+    distinct, again = substring_dedup.distinct_wide(values)
+    assert distinct.tolist() == [(5, 1), (5, 2), (9, 3)] and again.tolist() == [(5, 1)]
+    ask = substring_dedup.wide_of(np.array([5, 5, 9, 9, 1, 10], np.uint64), np.array([2, 3, 3, 1, 1, 1], np.uint32))
+    assert substring_dedup.in_wide(ask, distinct).tolist() == [True, False, True, False, False, False]
+
+
+def test_op2_tells_words_apart_that_polynomials_do_not(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]  # such words have one polynomial hash modulo 2**64
+    long = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rest = [f"w{i}" for i in range(34)]
+    texts = [" ".join([word, *rest]) for word in long]
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()] == [0, 0]
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs(spark, [texts[0], texts[0]])).collect()] == [35, 35]
+
+
 # --- 7: SimHash -------------------------------------------------------------------------
 
 
