@@ -27,8 +27,10 @@ from docsmelt.llm.components import connected_components, link_roots
 BLOCK = 512
 #: Tiles that a fingerprint may visit before tiles become ranges of the population count.
 MOST_STEPS = 100
-#: Rows of such a range tile.
+#: Rows of such a range tile, and of a tile of part counts before there are more parts.
 TILE_ROWS = 1 << 15
+#: Numbers of parts of a fingerprint word.
+PARTS = (4, 8, 16)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -137,17 +139,17 @@ def _values(hexadecimal: str, rows: int) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(hexadecimal), ">u8").astype(np.uint64).reshape(rows, -1)
 
 
-def fingerprint_links(prints: DataFrame, radius: int, parts: int = 4, words: int = 1) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int, parts: int | None = None, words: int = 1) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within ``radius`` bits.
 
     ``prints`` has one column, fingerprint, of distinct values. For small radii each
-    64-bit word is cut in ``parts`` parts and a tile holds the fingerprints with the same
-    part counts (``_part_tiles``); where that would make more than ``MOST_STEPS`` visits
+    64-bit word is cut in ``parts`` parts (``least_parts``, if not given) and a tile holds
+    the fingerprints with the same part counts (``_part_tiles``); where that would make more than ``MOST_STEPS`` visits
     of each fingerprint, tiles are ranges of the whole population count (``_range_tiles``).
     Either way every pair within the radius is compared.
     """
-    if count_steps(parts * words, radius) <= MOST_STEPS:
-        return _part_tiles(prints, radius, parts)
+    if count_steps((parts or PARTS[0]) * words, radius) <= MOST_STEPS or parts and parts > PARTS[0]:
+        return _part_tiles(prints, radius, parts or least_parts(prints, radius, words, TILE_ROWS))
     return _range_tiles(prints, radius)
 
 
@@ -156,11 +158,48 @@ def count_steps(parts: int, radius: int) -> int:
     return sum(2**k * math.comb(parts, k) * math.comb(radius, k) for k in range(min(parts, radius) + 1))
 
 
+def part_counts(value: np.ndarray, parts: int) -> np.ndarray:
+    """Population counts of the ``parts`` parts of each fingerprint word."""
+    width = 64 // parts
+    cut = np.arange(parts, dtype=np.uint64) * np.uint64(width)
+    mask = np.uint64((1 << width) - 1)
+    return np.concatenate([np.bitwise_count((value[:, [k]] >> cut[None, :]) & mask) for k in range(value.shape[1])], axis=1).astype(np.int64)
+
+
+def tile_keys(counts: np.ndarray, width: int) -> np.ndarray:
+    key = np.zeros(len(counts), np.int64)
+    for column in counts.T:
+        key = key * (width + 1) + column
+    return key
+
+
+def least_parts(prints: DataFrame, radius: int, words: int, tile_rows: int) -> int:
+    """The least of ``PARTS`` whose fullest tile has ``tile_rows`` fingerprints at most; the last, if none has.
+
+    Tiles shrink by the power of the number of parts, and visits grow with its square for
+    a radius of two (41, 145, 545 tiles), so parts follow the table's own counts.
+    """
+    for parts in PARTS[:-1]:
+        if count_steps(parts * 2 * words, radius) > MOST_STEPS * 6:
+            return parts
+
+        def homes(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                if batch.num_rows:
+                    value = _values("".join(batch.column(0).to_pylist()), batch.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(tile_keys(part_counts(value, parts), 64 // parts))], ["tile"])
+
+        fullest = prints.select("fingerprint").mapInArrow(homes, "tile bigint").groupBy("tile").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= tile_rows:
+            return parts
+    return PARTS[-1]
+
+
 def _part_tiles(prints: DataFrame, radius: int, parts: int) -> DataFrame:
     """A tile goes to itself and, as a visitor, to the tiles at each of ``near_steps``.
 
-    A group is one tile and its visitors, and the memory of a task is one group; tiles
-    shrink by the power of the number of parts, so raise ``parts`` for larger tables.
+    A group is one tile and its visitors, compared block by block; the memory of a task is
+    the fingerprints of one group.
     """
     width = 64 // parts
 
@@ -172,16 +211,11 @@ def _part_tiles(prints: DataFrame, radius: int, parts: int) -> DataFrame:
             value = _values("".join(batch.column(0).to_pylist()), batch.num_rows)
             if steps is None:
                 steps = np.array([(0,) * (parts * value.shape[1]), *near_steps(parts * value.shape[1], radius)])
-            mask = np.uint64((1 << width) - 1)
-            cut = np.arange(parts, dtype=np.uint64) * np.uint64(width)
-            pops = np.concatenate([np.bitwise_count((value[:, [k]] >> cut[None, :]) & mask) for k in range(value.shape[1])], axis=1).astype(np.int64)
+            pops = part_counts(value, parts)
             for s, step in enumerate(steps):
                 near = pops + step
                 ok = np.flatnonzero(((near >= 0) & (near <= width)).all(axis=1))
-                key = np.zeros(len(ok), np.int64)
-                for column in near[ok].T:
-                    key = key * (width + 1) + column
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ok), s > 0)), batch.column(0).take(pa.array(ok))], ["tile", "visitor", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile_keys(near[ok], width)), pa.array(np.full(len(ok), s > 0)), batch.column(0).take(pa.array(ok))], ["tile", "visitor", "fingerprint"])
 
     def compare(key, table):
         visitor = table.column("visitor").to_numpy()
@@ -244,7 +278,7 @@ def _range_tiles(prints: DataFrame, radius: int) -> DataFrame:
     return packed.groupBy("u", "v").applyInArrow(compare, "a string, b string")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fingerprint, component_id: the smallest id reachable over close fingerprints.
 
     Texts link when their fingerprints differ in ``radius`` bits or fewer. Rows with the
