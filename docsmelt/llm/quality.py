@@ -14,16 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import passes
+from docsmelt.llm.common import kept_names, passes
 
 BITS = 20
 SLOTS = 1 << BITS
 #: Labelled rows that training takes at most: those with the least hashes of their ids.
 TRAIN_ROWS = 6_000
+#: Bytes of features that training takes at most: rows in the order of those hashes until they are reached.
+TRAIN_BYTES = 96 << 20
+#: Texts of more bytes are not learnt from (they are scored), so that one row is bounded too.
+TRAIN_TEXT_BYTES = 1 << 18
 #: Passes over the training rows.
 EPOCHS = 3
 
@@ -91,17 +95,23 @@ def _sparse(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(distinct, SLOTS), np.append(count / np.sqrt(max(1, len(slots))), 1.0)
 
 
-def training_rows(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list:
+def training_rows(
+    texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, most_bytes: int = TRAIN_BYTES, text_bytes: int = TRAIN_TEXT_BYTES
+) -> list:
     """A bounded sample of labelled texts as sparse rows, in the order of their hashes.
 
-    Which rows are taken depends on ids alone: the ``rows`` least by hash. They are picked
-    from the labels first, so that only their texts are read into the result.
+    Which rows are taken depends on ids alone: the ``rows`` least by hash, as far as
+    ``most_bytes`` of features go. They are picked from the labels first; of texts that
+    share an id one is taken (that with the least hash), and texts of more than
+    ``text_bytes`` none. So what comes to the driver, and to the one task that adds up the
+    bytes, is bounded in rows and bytes however often an id repeats.
     """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
     # one label for each id; ids labelled both ways teach nothing
     picked = picked.groupBy(id_col).agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most")
     picked = picked.withColumn("_order", F.xxhash64(id_col, F.lit(9))).orderBy("_order", id_col).limit(rows)
-    joined = texts.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(picked), id_col)  # at most ``rows`` rows
+    short = texts.select(id_col, F.col(text_col).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= text_bytes)
+    joined = short.join(F.broadcast(picked), id_col)  # at most ``rows`` rows
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -111,10 +121,12 @@ def training_rows(texts: DataFrame, labels: DataFrame, id_col: str, text_col: st
                 columns = [pa.array([s.astype("<i4").tobytes() for s, _ in sparse], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in sparse], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(k).slice(lo, hi - lo) for k in (1, 2, 3))], ["slots", "values", "label", "ord", "id"])
 
-    found = joined.select("_text", "_label", "_order", F.col(id_col).cast("string").alias("_id")).mapInArrow(run, "slots binary, values binary, label int, ord bigint, id string")
-    taken = found.toArrow().combine_chunks()
+    made = joined.select("_text", "_label", "_order", F.col(id_col).cast("string").alias("_id")).mapInArrow(run, "slots binary, values binary, label int, ord bigint, id string")
+    one = made.groupBy("ord", "id").agg(F.min_by(F.struct("slots", "values", "label"), F.xxhash64("slots", "values")).alias("row")).select("ord", "id", "row.*")
+    size = F.sum(F.octet_length("slots") + F.octet_length("values")).over(Window.orderBy("ord", "id"))
+    taken = one.withColumn("size", size).where(F.col("size") <= most_bytes).select("slots", "values", "label", "ord", "id").toArrow().combine_chunks()
     slots, values, label = (taken.column(c).to_pylist() for c in ("slots", "values", "label"))
-    keys = list(zip(taken.column("ord").to_pylist(), taken.column("id").to_pylist(), slots))
+    keys = list(zip(taken.column("ord").to_pylist(), taken.column("id").to_pylist()))
     order = sorted(range(len(keys)), key=keys.__getitem__)
     return [(np.frombuffer(slots[k], "<i4"), np.frombuffer(values[k], "<f4"), label[k]) for k in order]
 
@@ -144,7 +156,7 @@ def quality_scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", t
 
     schema = f"_id {kinds['_id']}, score double, predicted int" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
     out = rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(kept_names(keep, ["score", "predicted", id_col]))
 
 
 def held_out(id_col: str):
@@ -153,7 +165,7 @@ def held_out(id_col: str):
 
 
 def fit_quality(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights learnt from at most ``rows`` labelled texts that are not held out.
+    """Weights learnt from at most ``rows`` labelled texts that are not held out, ``TRAIN_BYTES`` of features.
 
     Labels that are null, of unknown ids, or contradict each other are left out. Without
     any label all weights are zero, so every score is a half.
