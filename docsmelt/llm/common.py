@@ -2,38 +2,84 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds the temporary arrays of a task.
 PASS_BYTES = 1 << 20
 
 
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) the warehouse folder serves.
+    Where the setting is absent the warehouse folder serves in local mode (tests on one
+    machine); elsewhere that is an error, as a folder may be one machine's own. Folders are
+    deleted at the end of their ``scratch_scope``, or of the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/docsmelt-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/docsmelt-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_discard_all)
+    _made.append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
     """Cut lineage: write to the shared scratch folder as Parquet and read back."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    path = f"{folder or scratch_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more, through the store's own file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    if path in _made:
+        _made.remove(path)
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(configuration).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders made inside at the end, when their readers have been written out."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            discard(spark, path)
+
+
+def _discard_all() -> None:
+    jvm = SparkContext._jvm
+    try:
+        for path in _made:
+            _delete(jvm, jvm.org.apache.hadoop.conf.Configuration(), path)
+    except Exception:  # the process ends; a store that is gone already needs no cleaning
+        pass
+
+
+def kept_names(keep: tuple[str, ...], own: list[str]) -> dict[str, str]:
+    """What columns that an operator passes on are called: their names, with ``_input`` where the operator has one of that name."""
+    return {f"_k{i}": f"{c}_input" if c in own else c for i, c in enumerate(keep)}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

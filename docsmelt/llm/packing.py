@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from docsmelt.llm.common import kept_names
 from docsmelt.llm.token_ops import encoded_passes
 
 #: Tokens that a task gathers before it packs them; whole windows, so little is padded.
@@ -117,7 +118,8 @@ def pack_documents(
     sequence_id, offset, then the columns named in ``keep``; with ``with_ids`` also the
     piece's ``ids``. A null or empty text is the end id alone. Null ids and repeated rows
     are documents like others (their pieces share the id). An empty table gives no row.
-    Input columns that clash with output names are left out unless named in ``keep``.
+    Input columns that clash with output names are left out unless named in ``keep``;
+    then they end in ``_input``.
 
     Tasks pack what they read, about a million tokens at a time: no shuffle, memory
     bound by that and the longest document, and the same outcome when a task runs again.
@@ -164,4 +166,4 @@ def pack_documents(
     schema = f"_id {kinds['_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     schema += ", ids array<int>" * with_ids + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
     out = rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed(kept_names(keep, ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", id_col]))

@@ -21,6 +21,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsmelt.llm.common import kept_names
+
 # Given names by gender and script.
 GIVEN_NAMES = {
     ("female", "latin"): "Alice Anna Anne Camille Carmen Charlotte Clara Elena Elizabeth Emma Hannah Ingrid Isabel Jennifer Julia Laura Lucia Maria Marie Mary Sarah Sofia Sophie Susan".split(),
@@ -221,7 +223,7 @@ def replace_entities(df: DataFrame, key: str = "docsmelt", id_col: str = "doc_id
     Returns ``id_col``, text, n_entities, then ``keep``: one row for each input row, null
     ids and repeated rows included. A null text stays null, with no entities; empty and
     clean texts stay as they are. Input columns that clash with output names are left out
-    unless named in ``keep``. No Python, no join and no shuffle; one pass in the JVM.
+    unless named in ``keep``, and then end in ``_input``. No Python, no join and no shuffle; one pass in the JVM.
     """
     rows = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("_found", entities(F.col("_text")))
@@ -232,7 +234,7 @@ def replace_entities(df: DataFrame, key: str = "docsmelt", id_col: str = "doc_id
         F.col("_id").alias(id_col),
         F.when(F.size("_found") > 0, text).otherwise(F.col("_text")).alias("text"),
         F.size("_found").cast("bigint").alias("n_entities"),
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(k).alias(c) for k, c in kept_names(keep, [id_col, "text", "n_entities"]).items()],
     )
 
 

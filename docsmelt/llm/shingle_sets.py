@@ -73,9 +73,10 @@ def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, name of the set, its size, sketch and hashes, for each row."""
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, name of the set, its size, sketch and hashes, for each row, then the columns of ``keep`` as _k0, _k1 and so on."""
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -86,9 +87,11 @@ def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
                 raw = hashes.tobytes()
                 name = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(name, pa.string()), pa.array(size, pa.int64()), _binary(sketch, first), _binary(hashes.view(np.uint8), 8 * cuts)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "set", "size", "sketch", "hashes"])
+                columns += [batch.column(2 + i).slice(lo, hi - lo) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "set", "size", "sketch", "hashes", *[f"_k{i}" for i in range(len(keep))]])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, set string, size bigint, sketch binary, hashes binary")
+    schema = f"id {kinds['id']}, set string, size bigint, sketch binary, hashes binary" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
+    return rows.mapInArrow(run, schema)
 
 
 def folded(rows: list[bytes], bits: int) -> np.ndarray:
@@ -271,6 +274,20 @@ def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, rule: Similar
     return sets.groupBy("group").applyInArrow(decide, "at bigint, root bigint")
 
 
+def _firsts(rows: DataFrame, similarity: float) -> DataFrame:
+    """set, first: of the component of a set, the row (none, id, at) that comes first by its id, null ids last, then by its number."""
+    rule = Similarity(similarity)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
+    nodes = materialise(rows.where("size > 0").groupBy("set", "size", "sketch").agg(least.alias("least"), F.min("at").alias("at")), "nodes")
+    roots = confirmed(nodes, rows, candidate_links(nodes, rule), rule)
+    grouped = nodes.select("set", "at", "least").join(roots, "at", "left").select("set", "least", F.coalesce("root", "at").alias("root"))
+    return grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("set", "first")
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    return materialise(sets.withColumn("at", F.monotonically_increasing_id()), "sets")
+
+
 def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, component_id: the smallest id reachable over texts of that Jaccard similarity and more.
 
@@ -280,13 +297,21 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     id take part as links but never name a component unless all ids of it are null.
     Repeated rows give repeated results; an empty table gives none.
     """
-    rule = Similarity(similarity)
-    rows = materialise(text_sets(df, shingle, id_col, text_col).withColumn("at", F.monotonically_increasing_id()), "sets")
-    worded = rows.where("size > 0")
-    nodes = materialise(worded.groupBy("set", "size", "sketch").agg(F.min("id").alias("least"), F.min("at").alias("at")), "nodes")
-    roots = confirmed(nodes, rows, candidate_links(nodes, rule), rule)
-    grouped = nodes.select("set", "at", "least").join(roots, "at", "left").select("set", "least", F.coalesce("root", "at").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(named, "root").select("set", "component_id")
-    found = worded.select("id", "set").join(labels, "set").select(F.col("id").alias(id_col), "component_id")
+    rows = _numbered(text_sets(df, shingle, id_col, text_col))
+    found = rows.where("size > 0").select("id", "set").join(_firsts(rows, similarity), "set").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
     return found.unionByName(rows.where("size = 0").select(F.col("id").alias(id_col), F.col("id").alias("component_id")))
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, whole, that remain when one row of each component of ``similar_texts`` stays.
+
+    That with the smallest id stays, and of rows with equal ids any one; rows with a null
+    id stay only where no other is in the component. It goes by rows, not by ids: of
+    repeated rows one stays, and of rows that share an id but no component each may stay.
+    Null texts and texts without words are in no component and all stay. An empty table
+    gives none.
+    """
+    rows = _numbered(text_sets(df, shingle, id_col, text_col, tuple(df.columns)))
+    stay = _firsts(rows, similarity).select(F.col("first.at").alias("at")).distinct()
+    kept = rows.where("size > 0").join(stay, "at", "left_semi").unionByName(rows.where("size = 0").select(*["at", *[c for c in rows.columns if c != "at"]]))
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)])

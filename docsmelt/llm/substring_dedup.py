@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import passes
+from docsmelt.llm.common import kept_names, passes
 
 #: Text bytes of one batch, and words of one bucket of hashes, at least.
 BATCH_BYTES = 4 << 20
@@ -259,4 +259,4 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     again = wide.groupBy("bucket").applyInArrow(confirm, "batch bigint, again binary")
     schema = f"_id {kinds['_id']}, n_words bigint, n_removed bigint, kept_text string" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
     out = texts.cogroup(again.groupBy("batch")).applyInArrow(mark, schema)
-    return out.withColumnRenamed("_id", id_col).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnRenamed("_id", id_col).withColumnsRenamed(kept_names(keep, ["n_words", "n_removed", "kept_text", id_col]))
