@@ -41,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
     """Cut lineage: write to the shared scratch folder as Parquet and read back."""
     path = f"{folder or scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

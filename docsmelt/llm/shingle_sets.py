@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import materialise, passes
+from docsmelt.llm.common import materialise, passes, scratch_dir, scratch_scope
 from docsmelt.llm.components import connected_components, link_roots
 from docsmelt.llm.simhash import _LOWER
 
@@ -74,9 +74,9 @@ def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, name of the set, its size, sketch and hashes, for each row, then the columns of ``keep`` as _k0, _k1 and so on."""
+    """id, text, name of the set, its size and sketch, for each row, then the columns of ``keep`` as _k0, _k1 and so on."""
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)])
-    kinds = dict(rows.dtypes)
+    names = ["id", "text", "set", "size", "sketch", *rows.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -86,12 +86,12 @@ def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str, keep: tup
                 sketch, first = sketches(hashes, cuts, sketch_bits(size))
                 raw = hashes.tobytes()
                 name = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(name, pa.string()), pa.array(size, pa.int64()), _binary(sketch, first), _binary(hashes.view(np.uint8), 8 * cuts)]
-                columns += [batch.column(2 + i).slice(lo, hi - lo) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "set", "size", "sketch", "hashes", *[f"_k{i}" for i in range(len(keep))]])
+                given = [c.slice(lo, hi - lo) for c in batch.columns]
+                columns = [*given[:2], pa.array(name, pa.string()), pa.array(size, pa.int64()), _binary(sketch, first), *given[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"id {kinds['id']}, set string, size bigint, sketch binary, hashes binary" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
-    return rows.mapInArrow(run, schema)
+    kinds = dict(rows.dtypes) | {"set": "string", "size": "bigint", "sketch": "binary"}
+    return rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def folded(rows: list[bytes], bits: int) -> np.ndarray:
@@ -250,11 +250,11 @@ def similar_roots(sets: list[np.ndarray], rule: Similarity) -> np.ndarray:
     return root
 
 
-def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, rule: Similarity) -> DataFrame:
+def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, shingle: int, rule: Similarity) -> DataFrame:
     """(at, root) for the nodes of candidate components, root the node they reach over exactly similar pairs.
 
-    The sets of a component meet in one group, each once; a task's memory is the sets of
-    one component at least.
+    One text of each set of a component comes to the component's group, and sets are made
+    of it again; a task's memory is the sets of one component at least.
     """
     parts = materialise(connected_components(links, "a", "b").select(F.col("node").alias("at"), F.col("root").alias("part")), "candidates")
     total = parts.join(nodes, "at").agg(F.sum("size")).first()[0] or 0
@@ -262,26 +262,31 @@ def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, rule: Similar
 
     def decide(key, table):
         table = table.sort_by([("part", "ascending"), ("size", "ascending"), ("at", "ascending")])
-        part, at, raw = table.column("part").to_numpy(), table.column("at").to_numpy(), table.column("hashes")
+        part, at = table.column("part").to_numpy(), table.column("at").to_numpy()
+        sets = []
+        for _, _, data, offsets in passes(table.column("text")):
+            hashes, cuts = shingle_sets(data, offsets, shingle)
+            sets += [hashes[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         root = np.arange(len(at))
         edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist()
         for a, b in zip(edges[:-1], edges[1:]):
-            sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-            root[a:b] = a + similar_roots(sets, rule)
+            root[a:b] = a + similar_roots(sets[a:b], rule)
         return pa.table([pa.array(at), pa.array(at[root])], ["at", "root"])
 
-    sets = rows.select("at", "size", "hashes").join(parts, "at").withColumn("group", groups)
+    sets = rows.select("at", "size", "text").join(parts, "at").withColumn("group", groups)
     return sets.groupBy("group").applyInArrow(decide, "at bigint, root bigint")
 
 
-def _firsts(rows: DataFrame, similarity: float) -> DataFrame:
+def _firsts(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """set, first: of the component of a set, the row (none, id, at) that comes first by its id, null ids last, then by its number."""
-    rule = Similarity(similarity)
+    rule, spark = Similarity(similarity), rows.sparkSession
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
-    nodes = materialise(rows.where("size > 0").groupBy("set", "size", "sketch").agg(least.alias("least"), F.min("at").alias("at")), "nodes")
-    roots = confirmed(nodes, rows, candidate_links(nodes, rule), rule)
-    grouped = nodes.select("set", "at", "least").join(roots, "at", "left").select("set", "least", F.coalesce("root", "at").alias("root"))
-    return grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("set", "first")
+    folder = scratch_dir(spark)
+    with scratch_scope(spark):
+        nodes = materialise(rows.where("size > 0").groupBy("set", "size", "sketch").agg(least.alias("least"), F.min("at").alias("at")), "nodes")
+        roots = confirmed(nodes, rows, candidate_links(nodes, rule), shingle, rule)
+        grouped = nodes.select("set", "at", "least").join(roots, "at", "left").select("set", "least", F.coalesce("root", "at").alias("root"))
+        return materialise(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("set", "first"), "firsts", folder)
 
 
 def _numbered(sets: DataFrame) -> DataFrame:
@@ -298,7 +303,7 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     Repeated rows give repeated results; an empty table gives none.
     """
     rows = _numbered(text_sets(df, shingle, id_col, text_col))
-    found = rows.where("size > 0").select("id", "set").join(_firsts(rows, similarity), "set").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
+    found = rows.where("size > 0").select("id", "set").join(_firsts(rows, shingle, similarity), "set").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
     return found.unionByName(rows.where("size = 0").select(F.col("id").alias(id_col), F.col("id").alias("component_id")))
 
 
@@ -311,7 +316,9 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     Null texts and texts without words are in no component and all stay. An empty table
     gives none.
     """
-    rows = _numbered(text_sets(df, shingle, id_col, text_col, tuple(df.columns)))
-    stay = _firsts(rows, similarity).select(F.col("first.at").alias("at")).distinct()
+    rows = _numbered(text_sets(df, shingle, id_col, text_col, tuple(c for c in df.columns if c not in (id_col, text_col))))
+    stay = _firsts(rows, shingle, similarity).select(F.col("first.at").alias("at")).distinct()
     kept = rows.where("size > 0").join(stay, "at", "left_semi").unionByName(rows.where("size = 0").select(*["at", *[c for c in rows.columns if c != "at"]]))
-    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)])
+    rest = [c for c in df.columns if c not in (id_col, text_col)]
+    names = {id_col: "id", text_col: "text"} | {c: f"_k{i}" for i, c in enumerate(rest)}
+    return kept.select(*[F.col(names[c]).alias(c) for c in df.columns])
