@@ -26,7 +26,7 @@ def squeeze(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Repair known glyph errors, then join words broken by a hyphen and white space."""
-    return F.regexp_replace(literal_replace(text, REPAIRS), r"([A-Za-z0-9_]+)-[ \t\r\n]+([A-Za-z0-9_]+)", "$1$2")
+    return F.regexp_replace(literal_replace(text, REPAIRS), r"(?U)(\w+)-\s+(\w+)", "$1$2")
 
 
 def tidy_layout(text: Column) -> Column:

@@ -78,8 +78,20 @@ def canonical(rows: DataFrame, aliases: dict[str, str], column: str = "param") -
     return rows.withColumn(column, values.lookup(aliases, plain)).where(F.col(column).isNotNull())
 
 
-# How many groups a design has, first that fits.
-GROUPS = [(r"2 ?x ?2", 4), (r"3 ?x ?2|2 ?x ?3", 6), (r"\b(four|4) (groups|conditions)", 4), (r"\b(three|3) (groups|conditions)", 3), (r"\b(two|2) (groups|conditions)", 2)]
+# How many groups a text that names them has.
+GROUPS = {"three": 3, "3": 3, "four": 4, "4": 4}
+
+
+def group_count(text: Column) -> Column:
+    """Groups of a design: both numbers of levels multiplied for "2 x 3 factorial" (x, times sign, hyphens or "by"), else three or four groups.
+
+    A "2x3 design" counts as factorial too, and any numbers of levels from 2 to 9; sizes
+    ("2x2 cm") and other numbers of groups don't count.
+    """
+    crossed = r"(?i)(?<![0-9.])([2-9])\s*(?:[x×]|-?\s*by\s*-?|-)\s*([2-9])[\s-]+(?:factorial|(?:between-subjects? |within-subjects? |mixed )?design)\b"
+    level = lambda i: F.regexp_extract(text, crossed, i).try_cast("int")
+    named = F.lower(F.regexp_extract(text, r"(?i)\b(three|four|3|4)\s+(?:experimental\s+)?groups\b", 1))
+    return F.coalesce(level(1) * level(2), values.lookup(GROUPS, named))
 
 
 def derived_totals(wide: DataFrame, text: str = "text") -> DataFrame:
@@ -88,9 +100,7 @@ def derived_totals(wide: DataFrame, text: str = "text") -> DataFrame:
     ``wide`` has n_total, n_total_conf, sample_size_per_group, sample_size_n and a text;
     the total is replaced where it is missing, equals one group, or is below 0.85 confident.
     """
-    groups = F.lit(None).cast("int")
-    for pattern, n in reversed(GROUPS):
-        groups = F.when(F.lower(F.col(text)).rlike(pattern), n).otherwise(groups)
+    groups = group_count(F.col(text))
     total = F.col("sample_size_per_group") * groups
     weak = F.col("n_total").isNull() | (F.col("n_total") == F.col("sample_size_per_group")) | (F.coalesce("n_total_conf", F.lit(0.0)) < 0.85)
     use = total.isNotNull() & weak

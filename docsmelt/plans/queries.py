@@ -102,7 +102,7 @@ def fallback_library(spark, sf_dir):
     return extract.best(rows, ["doc_id", "param"]).select("doc_id", "param", "lib", "value_raw", "confidence")
 
 
-_CLEAN_SQL = "regexp_replace(text, '([A-Za-z0-9_]+)-[ \\t\\r\\n]+([A-Za-z0-9_]+)', '\\1\\2', 'g')"
+_CLEAN_SQL = "regexp_replace(text, '([\\p{L}\\p{M}\\p{Nd}_]+)-[\\t\\n\\x0b\\f\\r \\x{85}\\p{Z}]+([\\p{L}\\p{M}\\p{Nd}_]+)', '\\1\\2', 'g')"
 _TIDY_SQL = f"translate(regexp_replace({_CLEAN_SQL}, '_+|\\*+', '', 'g'), '�×', '=x')"
 
 
@@ -139,12 +139,13 @@ def section_split(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, CAST(1 AS INTEGER) AS number, 'First task' AS title, CAST(length(" + _THIRD.format(k=0) + ") + 1 + length('Experiment 1: First task') AS INTEGER) AS chars FROM documents UNION ALL "
-    "SELECT doc_id, 2, 'Second task', CAST(length(" + _THIRD.format(k=1) + ") + 1 + length('Experiment Two: Second task') AS INTEGER) FROM documents"
+    "SELECT doc_id, CAST(1 AS INTEGER) AS number, 'First task' AS title, CAST(length(" + _THIRD.format(k=0) + ") + 1 + length('Behavioral Experiment 1: First task') AS INTEGER) AS chars FROM documents UNION ALL "
+    "SELECT doc_id, 2, 'Second task', CAST(length(" + _THIRD.format(k=1) + ") + 1 + length('Experiment Two: Second task') AS INTEGER) FROM documents UNION ALL "
+    "SELECT doc_id, 3, 'Experiment 3', CAST(length(" + _THIRD.format(k=2) + ") + 1 + length('3. Task III') AS INTEGER) FROM documents"
 )
 def experiment_split(spark, sf_dir):
-    docs, (a, b, _) = _thirds(table(spark, sf_dir, "documents"))
-    built = docs.select("doc_id", F.concat(F.lit("Experiment 1: First task\n"), a, F.lit("\nExperiment Two: Second task\n"), b).alias("text"))
+    docs, (a, b, c) = _thirds(table(spark, sf_dir, "documents"))
+    built = docs.select("doc_id", F.concat(F.lit("Behavioral Experiment 1: First task\n"), a, F.lit("\nExperiment Two: Second task\n"), b, F.lit("\n3. Task III\n"), c).alias("text"))
     return structure.experiments(built, ["doc_id"]).select("doc_id", "number", "title", F.length("body").alias("chars"))
 
 
@@ -577,9 +578,15 @@ def manual_overrides(spark, sf_dir):
     return store.apply_overrides(params, over)
 
 
-@query("SELECT p_partkey, CASE WHEN use THEN per * g ELSE total END AS n_total, CAST(CASE WHEN use THEN 0.95 ELSE conf END AS DOUBLE) AS n_total_conf FROM (SELECT *, g IS NOT NULL AND (total IS NULL OR total = per OR conf < 0.85) AS use FROM (SELECT p_partkey, p_size AS per, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN p_size ELSE 99 END AS total, CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.5 END AS conf, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN 3 END AS g FROM part))")
+# what a text says, and how many groups that is: written apart from the rule
+_DESIGNS = [("A 2x2 factorial design.", 4), ("a 2 × 3 factorial", 6), ("the 3-by-2 factorial", 6), ("targets were 2x2 cm", None), ("Three groups took part", 3), ("4 experimental groups", 4), ("two groups", None), ("13 groups, 24 groups", None), ("a 2 x 4 mixed design", 8), ("no design", None)]
+_DESIGN_TEXT = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_DESIGNS)) + " END"
+_DESIGN_GROUPS = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {g}" for i, (_, g) in enumerate(_DESIGNS) if g) + " END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN use THEN per * g ELSE total END AS n_total, CAST(CASE WHEN use THEN 0.95 ELSE conf END AS DOUBLE) AS n_total_conf FROM (SELECT *, g IS NOT NULL AND (total IS NULL OR total = per OR conf < 0.85) AS use FROM (SELECT p_partkey, p_size AS per, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN p_size ELSE 99 END AS total, CASE WHEN p_partkey % 2 = 0 THEN 0.9 ELSE 0.5 END AS conf, {_DESIGN_GROUPS} AS g FROM part))")
 def derived_totals(spark, sf_dir):
-    wide = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size sample_size_per_group", "case p_partkey % 3 when 0 then null when 1 then p_size else 99 end n_total", "case when p_partkey % 2 = 0 then 0.9D else 0.5D end n_total_conf", "cast(null as int) sample_size_n", "case p_partkey % 4 when 0 then 'a 2x2 design' when 1 then 'a 2 x 3 design' when 2 then 'Three groups' else 'one group' end text")
+    wide = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size sample_size_per_group", "case p_partkey % 3 when 0 then null when 1 then p_size else 99 end n_total", "case when p_partkey % 2 = 0 then 0.9D else 0.5D end n_total_conf", "cast(null as int) sample_size_n", f"{_DESIGN_TEXT} text")
     return extract.derived_totals(wide).select("p_partkey", "n_total", "n_total_conf")
 
 
