@@ -36,7 +36,9 @@ def main(argv: list[str] | None = None) -> None:
         texts = texts.select("path", "kind", F.col("content").cast("string").alias("text"))
         merged = code.merge_files(code.file_params(texts, libraries.alias_table()))
         prose = texts.where(F.col("kind").isin("markdown", "txt", "tex"))
-        best = extract.best(extract.candidates(prose, libraries.MOTOR_LEARNING, ["path"]), ["path", "param"])
+        main = extract.candidates(prose, libraries.MOTOR_LEARNING, ["path"])
+        short = extract.candidates(prose, libraries.MOTOR_FALLBACK, ["path"], lib="fallback")
+        best = extract.best(extract.with_fallback(main, short, ["path", "param"]), ["path", "param"])
         merged.show(100, False)
         best.select("path", "param", "value_raw", "confidence").show(100, False)
         if a.table:
@@ -63,10 +65,11 @@ def main(argv: list[str] | None = None) -> None:
             store.upsert_table(store.apply_status(experiments, spark.read.csv(a.updates, header=True)), "experiments", "id")
         store.review_sheet(spark.table("experiments")).write.mode("overwrite").csv(a.output, header=True)
     elif a.command == "discover":
-        docs = spark.read.text(a.texts, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        docs = spark.read.text(a.texts, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"), F.lit(True).alias("success"))
+        docs = assist.discovery_papers(docs, "path")
         ask = docs.withColumn("prompt", F.concat(F.lit("Propose new parameters as JSON (new_parameters) for:\n"), F.substring("text", 1, 15000)))
         found = assist.parse_new(assist.generate(ask.select("path", "prompt"), "prompt", assist.provider(a.provider or "stub"), "discover"), ["path"])
-        assist.filter_proposals(found).write.mode("overwrite").json(a.output)
+        assist.save_proposals(assist.filter_proposals(found), a.output, "csv" if a.output.endswith(".csv") else "json", a.provider or "stub")
     elif a.command == "coverage":
         params = tables.batch_params(tables.read_batch_results(spark, a.results)).withColumn("scope", F.concat_ws("#", "paper_name", F.col("experiment").cast("string")))
         report.coverage(params, params, "scope").orderBy(F.desc("pct"), "param").show(100, False)

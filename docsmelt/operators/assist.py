@@ -24,7 +24,10 @@ class Provider(Protocol):
 
 
 class StubProvider:
-    """A deterministic provider for tests: for each ``- name`` line of a prompt, the first ``name: value`` in it."""
+    """A deterministic provider for tests: for each ``- name`` line of a prompt, the first ``name: value`` in it.
+
+    Asked for missed parameters, it gives the ``name = value`` lines that are not known.
+    """
 
     name = "stub"
 
@@ -32,6 +35,12 @@ class StubProvider:
         out = []
         for p in prompts:
             found = {}
+            if "missed_parameters" in p:
+                known = set(re.findall(r"\w+", p.partition("\nKnown: ")[2].partition("\n")[0]))
+                lines = re.findall(r"(?m)^(\w+) = (\S+)$", p)
+                missed = [{"parameter_name": n, "value": v, "confidence": 0.8, "evidence": f"{n} = {v}"} for n, v in lines if n not in known]
+                out.append(json.dumps({"missed_parameters": missed}))
+                continue
             for field in re.findall(r"(?m)^- (\w+)", p):
                 m = re.search(rf"(?m)^(?!- ){re.escape(field)}\s*[:=]\s*(\S+)", p)
                 found[field] = {"value": m[1], "confidence": 0.9, "evidence": m[0]} if m else {"abstained": True}
@@ -161,15 +170,85 @@ def filter_proposals(rows: DataFrame, min_prevalence: str = "low", min_importanc
     return out if top is None else out.limit(top)
 
 
+# How many papers the discovery of new parameters reads, to bound what it costs.
+DISCOVERY_PAPERS = 5
+
+
+def discovery_papers(papers: DataFrame, order: str, success: str = "success", most: int | None = DISCOVERY_PAPERS) -> DataFrame:
+    """The papers that discovery reads: of the first ``most`` by ``order``, those that succeeded (the feature's own limit)."""
+    first = papers if most is None else papers.orderBy(order).limit(most)
+    return first.where(success)
+
+
+def save_proposals(rows: DataFrame, path: str, fmt: str = "json", model: str = "") -> None:
+    """Proposals as CSV, or as JSON lines that each carry the model and the day."""
+    if fmt == "csv":
+        rows.write.mode("overwrite").csv(path, header=True)
+    elif fmt == "json":
+        rows.select(F.struct("*").alias("proposal"), F.lit(model).alias("model"), F.current_date().alias("proposed_date")).write.mode("overwrite").json(path)
+    else:
+        raise ValueError(f"unknown format: {fmt}")
+
+
+def answer_json(rows: DataFrame, prompt: str, by: Provider, task: str, again: str = "\n\nAnswer with one valid JSON object only.") -> DataFrame:
+    """``generate`` with one more try, under a stricter prompt, for answers that hold no JSON; ``attempts`` says how many it took."""
+    first = generate(rows, prompt, by, task)
+    good = parse_json(F.col("answer")).isNotNull()
+    second = generate(first.where(~F.coalesce(good, F.lit(False))).drop("answer", "error").withColumn(prompt, F.concat(F.col(prompt), F.lit(again))), prompt, by, task)
+    return first.where(good).withColumn("attempts", F.lit(1)).unionByName(second.withColumn("attempts", F.lit(2)))
+
+
+def filter_statistics(rows: DataFrame, verdict: str = "verdict", by: list[str] = ()) -> DataFrame:
+    """How many answers each verdict had, and their share."""
+    n = rows.groupBy(*by, verdict).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*[F.col(c) for c in by])), 6))
+
+
+def _asked(docs: DataFrame, wanted: DataFrame, scope: str, text: str, head: str) -> DataFrame:
+    names = wanted.groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_set("param")), lambda p: F.concat(F.lit("- "), p)), "\n").alias("wanted"))
+    return docs.join(names, scope).select(scope, F.concat(F.lit(head), F.col("wanted"), F.lit("\n\n"), F.substring(text, 1, 25000)).alias("prompt"))
+
+
+def find_missed(docs: DataFrame, found: DataFrame, scope: str, text: str, by: Provider, most: int = 15000) -> DataFrame:
+    """scope, param, value, confidence, verdict: parameters that a text has and ``found`` lacks, by one open question for each text."""
+    known = found.groupBy(scope).agg(F.array_join(F.array_sort(F.collect_set("param")), ", ").alias("known"))
+    head = "List parameters of the text that are missing among the known ones, as JSON (missed_parameters with parameter_name, value, confidence, evidence).\nKnown: "
+    ask = docs.join(known, scope, "left").select(scope, F.concat(F.lit(head), F.coalesce("known", F.lit("")), F.lit("\n\n"), F.substring(text, 1, most)).alias("prompt"))
+    rows = parse_missed(answer_json(ask, "prompt", by, "missed"), [scope]).withColumnRenamed("parameter_name", "param")
+    verdict = evidence_verdict(F.col("confidence"), F.col("evidence"), F.col("value"), F.lit(False), "missed")
+    return rows.join(found.select(scope, "param"), [scope, "param"], "left_anti").select(scope, "param", "value", "confidence", verdict.alias("verdict"))
+
+
+def infer_remaining(docs: DataFrame, found: DataFrame, names: list[str], scope: str, text: str, by: Provider) -> DataFrame:
+    """scope, param, value, confidence, verdict: one answer for each of ``names`` that ``found`` still lacks."""
+    left = docs.select(scope, F.explode(F.array(*[F.lit(n) for n in names])).alias("param")).join(found.select(scope, "param"), [scope, "param"], "left_anti")
+    prompts = _asked(docs, left, scope, text, "Infer from the text, as a JSON object with value, confidence and evidence for each:\n")
+    rows = parse_answers(answer_json(prompts, "prompt", by, "infer"), [scope]).join(left, [scope, "param"], "left_semi")
+    verdict = evidence_verdict(F.col("confidence"), F.col("evidence"), F.col("value"), F.col("abstained"))
+    return rows.select(scope, "param", "value", "confidence", verdict.alias("verdict"))
+
+
+def assisted(docs: DataFrame, found: DataFrame, critical: list[str], names: list[str], scope: str, text: str, by: Provider, share: float = 0.3) -> DataFrame:
+    """The stages in order: verify what was found, find what was missed, infer what remains where more than ``share`` of ``names`` is missing.
+
+    Returns scope, param, value, confidence, source_type, stage. A stage sees only what the
+    ones before it left, and adds accepted answers only.
+    """
+    first = verify_and_fill(docs, found, critical, scope, text, by).withColumn("stage", F.lit("verify")).where("value is not null")
+    extra = lambda rows, stage: rows.where("verdict = 'accepted'").select(scope, "param", "value", "confidence", F.lit("llm_inference").alias("source_type"), F.lit(stage).alias("stage"))
+    second = first.unionByName(extra(find_missed(docs, first, scope, text, by), "missed"))
+    expected = docs.select(scope, F.explode(F.array(*[F.lit(n) for n in names])).alias("param"))
+    poor = docs.join(gate(second, expected, scope, share).select(scope), scope, "left_semi")
+    return second.unionByName(extra(infer_remaining(poor, second, names, scope, text, by), "infer"))
+
+
 def verify_and_fill(docs: DataFrame, found: DataFrame, critical: list[str], scope: str, text: str, by: Provider, template: str | None = None) -> DataFrame:
     """Verify what was found, ask for what is missing, keep accepted answers: one prompt for each scope.
 
     Returns scope, param, value, confidence, source_type.
     """
     ask = needs_model(found, docs, critical, scope, mode="verify")
-    wanted = ask.groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_set("param")), lambda p: F.concat(F.lit("- "), p)), "\n").alias("wanted"))
-    head = template or "Give a JSON object with value, confidence and evidence for:\n"
-    prompts = docs.join(wanted, scope).select(scope, F.concat(F.lit(head), F.col("wanted"), F.lit("\n\n"), F.substring(text, 1, 25000)).alias("prompt"))
-    parsed = parse_answers(generate(prompts, "prompt", by), [scope])
+    prompts = _asked(docs, ask, scope, text, template or "Give a JSON object with value, confidence and evidence for:\n")
+    parsed = parse_answers(answer_json(prompts, "prompt", by, "verify"), [scope])
     verdict = evidence_verdict(F.col("confidence"), F.col("evidence"), F.col("value"), F.col("abstained"))
     return apply_fallback(found.select(scope, "param", "value", "confidence"), parsed.where(verdict == "accepted"), [scope, "param"])

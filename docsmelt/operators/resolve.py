@@ -21,29 +21,37 @@ def source_rank(source: Column, order: list[str] = SOURCES) -> Column:
     return F.coalesce(lookup({s: i for i, s in enumerate(order)}, name), F.lit(len(order)))
 
 
-def by_precedence(rows: DataFrame, keys: list[str], order: list[str] = SOURCES, gap: float = 0.2) -> DataFrame:
-    """The most confident row where it leads by more than ``gap``; else the best source's, ties to the smaller ``ord``.
+def _combined(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of one value, confidence and source as one, dealt by key once; windows and aggregates by key need no other shuffle."""
+    once = rows.groupBy(*keys, "value", "confidence", "source_type").agg(F.min("ord").alias("ord"), F.count("*").alias("_rows")).repartition(*keys)
+    number = F.col("value").cast("string").try_cast("double")
+    return once.withColumns({
+        "_rank": source_rank(F.col("source_type"), order), "_number": number,
+        "_below": F.lag("confidence").over(Window.partitionBy(*keys).orderBy("confidence", "ord")), "_rows_at": F.sum("_rows").over(Window.partitionBy(*keys, "confidence")),
+        "_votes": F.sum("_rows").over(Window.partitionBy(*keys, "value")), "_seen": F.min("ord").over(Window.partitionBy(*keys, "value")),
+    })
 
-    The window over a key runs after rows of one confidence, source and value are one, so
-    it sees their distinct combinations only.
-    """
-    ranked = rows.groupBy(*keys, "value", "confidence", "source_type").agg(F.min("ord").alias("ord"), F.count("*").alias("_rows"))
-    ranked = ranked.withColumn("_rank", source_rank(F.col("source_type"), order))
-    same = Window.partitionBy(*keys, "confidence")
-    ranked = ranked.withColumns({"_below": F.lag("confidence").over(Window.partitionBy(*keys).orderBy("confidence", "ord")), "_rows_at": F.sum("_rows").over(same)})
+
+def _precedence(gap: float) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates over combined rows, and what follows from them."""
     whole = F.struct("value", "confidence", "source_type")
-    lead = ranked.groupBy(*keys).agg(
-        F.min_by(whole, F.struct((-F.col("confidence")).alias("a"), F.col("ord").alias("b"))).alias("top"),
-        F.min_by(whole, F.struct(F.col("_rank").alias("a"), F.col("ord").alias("b"))).alias("ranked"),
-        F.sum("_rows").alias("n"), F.countDistinct("value").alias("distinct_values"),
-        F.max("confidence").alias("_max"),
+    aggregates = [
+        F.min_by(whole, F.struct((-F.col("confidence")).alias("a"), F.col("ord").alias("b"))).alias("_top"),
+        F.min_by(whole, F.struct(F.col("_rank").alias("a"), F.col("ord").alias("b"))).alias("_first"),
+        F.sum("_rows").alias("n"), F.countDistinct("value").alias("distinct_values"), F.max("confidence").alias("_max"),
         # the second confidence: the largest again where two rows have it, else the largest below
-        F.max_by("_rows_at", "confidence").alias("_at_max"),
-        F.max_by("_below", F.struct("confidence", "ord")).alias("_below"),
-    )
-    lead = lead.withColumn("_second", F.when(F.col("_at_max") > 1, F.col("_max")).otherwise(F.col("_below")))
-    use_top = (F.col("n") == 1) | (F.round(F.col("_max") - F.col("_second"), 9) > gap)
-    return lead.select(*keys, F.when(use_top, F.col("top")).otherwise(F.col("ranked")).alias("w"), "n", "distinct_values").select(*keys, F.col("w.value").alias("value"), F.col("w.confidence").alias("confidence"), F.col("w.source_type").alias("source_type"), "n", "distinct_values")
+        F.max_by("_rows_at", "confidence").alias("_at_max"), F.max_by("_below", F.struct("confidence", "ord")).alias("_under"),
+    ]
+    second = F.when(F.col("_at_max") > 1, F.col("_max")).otherwise(F.col("_under"))
+    use_top = (F.col("n") == 1) | (F.round(F.col("_max") - second, 9) > gap)
+    chosen = F.when(use_top, F.col("_top")).otherwise(F.col("_first"))
+    return aggregates, {c: chosen[c] for c in ("value", "confidence", "source_type")}
+
+
+def by_precedence(rows: DataFrame, keys: list[str], order: list[str] = SOURCES, gap: float = 0.2) -> DataFrame:
+    """The most confident row where it leads by more than ``gap``; else the best source's, ties to the smaller ``ord``."""
+    aggregates, chosen = _precedence(gap)
+    return _combined(rows, keys, order).groupBy(*keys).agg(*aggregates).select(*keys, *[c.alias(n) for n, c in chosen.items()], "n", "distinct_values")
 
 
 def by_tolerance(rows: DataFrame, keys: list[str], percent: Column) -> DataFrame:
@@ -71,11 +79,15 @@ def resolve(rows: DataFrame, scope: list[str], policies: dict[str, tuple[str, fl
     keys = [*scope, "param"]
     policy = F.coalesce(lookup({p: v[0] for p, v in policies.items()}, F.col("param")), F.lit(default)) if policies else F.lit(default)
     percent = F.coalesce(lookup({p: float(v[1]) for p, v in policies.items()}, F.col("param")), F.lit(5.0)) if policies else F.lit(5.0)
-    base = by_precedence(rows, keys)
-    mean = by_tolerance(rows, keys, percent).select(*keys, "mean")
-    vote = by_consensus(rows, keys, least).select(*keys, F.col("value").alias("vote"))
-    seen = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("seen"))
-    out = base.join(mean, keys).join(vote, keys).join(seen, keys).withColumn("policy", policy)
+    aggregates, chosen = _precedence(0.2)
+    vote = F.min_by(F.struct("value", "_votes"), F.struct((-F.col("_votes")).alias("a"), F.col("_seen").alias("b")))
+    out = _combined(rows, keys, SOURCES).groupBy(*keys).agg(
+        *aggregates, vote.alias("_vote"), F.array_sort(F.collect_set("value")).alias("seen"), F.min("_number").alias("_lo"), F.max("_number").alias("_hi"),
+        F.try_divide(F.sum(F.col("_number") * F.col("_rows")), F.sum(F.when(F.col("_number").isNotNull(), F.col("_rows")))).alias("_mean"), F.sum(F.when(F.col("_number").isNull(), F.col("_rows")).otherwise(0)).alias("_words"),
+    )
+    within = (F.col("_words") == 0) & (F.greatest(F.col("_hi") - F.col("_mean"), F.col("_mean") - F.col("_lo")) <= F.abs("_mean") * percent / 100)
+    out = out.select(*keys, "seen", "n", "distinct_values", *[c.alias(n) for n, c in chosen.items()], F.when(within, F.col("_mean")).alias("mean"), F.when(F.col("_vote._votes") >= least, F.col("_vote.value")).alias("vote"))
+    out = out.withColumn("policy", policy)
     value = (
         F.when(F.col("n") == 1, F.col("value"))
         .when(F.col("policy") == "manual", F.when(F.col("distinct_values") == 1, F.col("value")))
@@ -127,9 +139,14 @@ def consolidate(proposals: DataFrame) -> DataFrame:
     return out.orderBy(level_rank(F.col("importance")).desc(), level_rank(F.col("prevalence")).desc(), "name")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of both tables, the new one's where a key is in both; later rows of the new table win."""
-    order = F.monotonically_increasing_id()
-    both = old.withColumns({"_gen": F.lit(0), "_ord": order}).unionByName(new.withColumns({"_gen": F.lit(1), "_ord": order}), allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of both tables, the new one's where a key is in both.
+
+    Of rows of one table with one key, that with the largest ``order`` column stays; without
+    one, that with the largest hash of its values, so that the outcome doesn't depend on how
+    rows are dealt.
+    """
+    place = lambda df: F.col(order) if order else F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    both = old.withColumns({"_gen": F.lit(0), "_ord": place(old)}).unionByName(new.withColumns({"_gen": F.lit(1), "_ord": place(new)}), allowMissingColumns=True)
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_gen"), F.desc("_ord")))
     return both.withColumn("_rn", last).where("_rn = 1").drop("_rn", "_gen", "_ord")

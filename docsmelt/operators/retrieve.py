@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,23 +44,42 @@ def embed(rows: DataFrame, text: str, encode: Callable[[list[str]], list[list[fl
     return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", embedding array<double>")
 
 
-def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 6, chunk_id: str = "chunk_id", query_id: str = "query_id", within: list[str] = (), largest: int = 10_000) -> DataFrame:
+def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 6, chunk_id: str = "chunk_id", query_id: str = "query_id", within: list[str] = (), largest: int = 64 << 20) -> DataFrame:
     """query_id, rank, chunk_id, score: each query's k most similar chunks, ties to the smaller id.
 
-    Queries are one for each field of a schema: at most ``largest`` rows, checked, then
-    broadcast. With ``within`` (a document key on both sides) it is an equi-join.
+    Queries are one for each field of a schema: their vectors may have ``largest`` bytes,
+    which is checked before they are broadcast. Each Arrow batch of chunks is one matrix
+    product, of which a query's k best leave. With ``within`` (a document key on both
+    sides) it is an equi-join instead.
     """
-    q = queries.select(*within, query_id, F.col("embedding").alias("_q"))
-    c = chunks.select(*within, chunk_id, F.col("embedding").alias("_c"))
-    if within:
-        pairs = c.join(q, list(within))
-    else:
-        if q.limit(largest + 1).count() > largest:
-            raise ValueError(f"more than {largest} queries; give a key to join within, or use a block search")
-        pairs = c.join(F.broadcast(q))
-    score = F.round(cosine(F.col("_c"), F.col("_q")), 6)
     rank = F.row_number().over(Window.partitionBy(*within, query_id).orderBy(F.desc("score"), chunk_id))
-    return pairs.select(*within, query_id, chunk_id, score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+    if within:
+        pairs = chunks.select(*within, chunk_id, F.col("embedding").alias("_c")).join(queries.select(*within, query_id, F.col("embedding").alias("_q")), list(within))
+        return pairs.select(*within, query_id, chunk_id, F.round(cosine(F.col("_c"), F.col("_q")), 6).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+    asked = queries.where("embedding is not null").select(query_id, F.col("embedding").cast("array<double>").alias("_q"))
+    size = asked.agg(F.sum(F.size("_q").cast("bigint") * 8)).first()[0] or 0
+    if size > largest:
+        raise ValueError(f"query vectors of more than {largest} bytes; give a key to join within, or use a block search")
+    rows = asked.collect()
+    kinds = dict(queries.dtypes) | dict(chunks.dtypes)
+    shared = chunks.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
+
+    def best(batches: Iterator[pd.DataFrame]):
+        names, q = shared.value
+        for b in batches:
+            b = b[b["embedding"].notna()]
+            if not len(b) or not len(names):
+                continue
+            c, ids = np.array(b["embedding"].tolist(), float), b[chunk_id].to_numpy()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = (q @ c.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
+            score = np.round(score, 6)
+            order = np.argsort(ids, kind="stable")
+            order = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+            yield pd.DataFrame({query_id: np.repeat(np.array(names, object), order.shape[1]), chunk_id: ids[order.ravel()], "score": np.take_along_axis(score, order, axis=1).ravel()})
+
+    found = chunks.select(chunk_id, F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(best, f"{query_id} {kinds[query_id]}, {chunk_id} {kinds[chunk_id]}, score double")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def chunk_context(ranked: DataFrame, keys: list[str], longest: int = 1200) -> DataFrame:
@@ -69,9 +89,13 @@ def chunk_context(ranked: DataFrame, keys: list[str], longest: int = 1200) -> Da
 
 
 def merge_answers(found: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with retrieved answers: new ones come in, equal ones keep the higher confidence and gain evidence."""
+    """Candidates with retrieved answers: new ones come in, equal ones keep the higher confidence and gain evidence.
+
+    Where the values differ, the candidate stays with its own confidence; the answer's
+    evidence is kept beside its own.
+    """
     f = found.select(*keys, F.col("value").alias("f_value"), F.col("confidence").alias("f_conf"), F.col("evidence").alias("f_ev"))
     a = answers.select(*keys, F.col("value").alias("a_value"), F.col("confidence").alias("a_conf"), F.col("evidence").alias("a_ev"))
-    return f.join(a, keys, "full").select(
-        *keys, F.coalesce("f_value", "a_value").alias("value"), F.greatest("f_conf", "a_conf").alias("confidence"), F.filter(F.array("f_ev", "a_ev"), lambda x: x.isNotNull()).alias("evidence")
-    )
+    confidence = F.when(F.col("f_value").isNull(), F.col("a_conf")).when(F.col("f_value") == F.col("a_value"), F.greatest("f_conf", "a_conf")).otherwise(F.col("f_conf"))
+    evidence = F.filter(F.array("f_ev", "a_ev"), lambda x: x.isNotNull())
+    return f.join(a, keys, "full").select(*keys, F.coalesce("f_value", "a_value").alias("value"), confidence.alias("confidence"), evidence.alias("evidence"))

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 try:
@@ -70,14 +70,18 @@ def walk(data, aliases: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def parse_yaml(text: str):
+    """A YAML document; without PyYAML, plain nested ``key: value`` lines only, and an error for anything else."""
     if yaml is not None:
         return yaml.safe_load(text)
     root: dict = {}
     stack = [(-1, root)]
     for line in text.splitlines():
-        m = re.match(r"^( *)([\w.-]+):(?: +(.*))?$", line.split(" #")[0].rstrip())
-        if not m:
+        line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        if not line or line == "---":
             continue
+        m = re.fullmatch(r"( *)([\w.-]+):(?: +([^\[{&*|>].*))?", line)
+        if not m:
+            raise ValueError(f"PyYAML is needed to read this line: {line!r}")
         depth, key, value = len(m[1]), m[2], m[3]
         while stack[-1][0] >= depth:
             stack.pop()
@@ -89,6 +93,49 @@ def parse_yaml(text: str):
     return root
 
 
+#: What a line of code says about each group of parameters, for any language: group, words of a name, what a value looks like.
+CODE_GROUPS = [
+    ("perturbation", "rotation rot angle perturbation force curl", r"[-+]?\d+(?:\.\d+)?"),
+    ("feedback", "feedback cursor delay noise", r"[-+]?\d+(?:\.\d+)?|true|false|True|False|'[^'\n]*'|\"[^\"\n]*\""),
+    ("timing", "trial duration interval iti time", r"\d+(?:\.\d+)?"),
+    ("sample", "subject participant age sample", r"\d+(?:\.\d+)?"),
+    ("block", "block phase baseline washout", r"\d+|'[^'\n]*'|\"[^\"\n]*\""),
+    ("target", "target distance radius spacing", r"\d+(?:\.\d+)?|\[[^\]\n]*\]"),
+]
+
+
+def code_mentions(source: str) -> list[tuple[str, str, str]]:
+    """(group, name, value) of assignments, ``key: value`` pairs, calls and comments whose name has a word of a group."""
+    out = []
+    for m in re.finditer(r"(?m)([A-Za-z_][\w.]*)['\"]?\s*(?:=(?!=)|:|\()\s*([^\n,;)]+)", source):
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", m[1]).lower()))
+        words |= {w[:-1] for w in words if w.endswith("s")}
+        for group, terms, value in CODE_GROUPS:
+            found = re.match(value, m[2].strip())
+            if found and words & set(terms.split()):
+                out.append((group, m[1], found[0].strip("'\"")))
+    return out
+
+
+def code_scan(files: DataFrame) -> DataFrame:
+    """path, group, name, value: what files of source code of any language mention of each group of parameters."""
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for b in batches:
+            rows = [(path, *found) for path, text in zip(b["path"], b["text"]) for found in code_mentions(text or "")]
+            yield pd.DataFrame(rows, columns=["path", "group", "name", "value"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, `group` string, name string, value string")
+
+
+def provenance(files: DataFrame, experiment: Column, version: str) -> DataFrame:
+    """Rows for the ``provenance`` table: one for each (path, kind, text) file that was read, with its content's hash."""
+    return files.select(
+        F.xxhash64("path", F.sha2("text", 256)).alias("id"), experiment.alias("experiment_id"), F.col("path").alias("file_path"), F.sha2("text", 256).alias("file_content_hash"),
+        F.when(F.col("kind") == "python", "code").otherwise("config_files").alias("source_type"), F.lit(version).alias("extractor_version"), F.current_timestamp().alias("extraction_timestamp"),
+    )
+
+
 def file_params(files: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Parameters of (path, kind, text) rows of kinds python, json and yaml; unreadable files give none."""
     lower = {k.lower(): v for k, v in aliases.items()}

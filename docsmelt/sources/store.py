@@ -27,12 +27,12 @@ VIEWS = {
 SELECT e.id AS experiment_id, e.name, e.paper_id, s.id AS session_id, s.session_number, b.id AS block_id, b.block_number, b.block_type, t.id AS trial_id, t.trial_number,
   coalesce(t.rotation_magnitude_deg, b.rotation_magnitude_deg) AS rotation_magnitude_deg, coalesce(t.feedback_delay_ms, b.feedback_delay_ms) AS feedback_delay_ms, coalesce(t.cursor_visible, b.cursor_visible) AS cursor_visible
 FROM experiments e LEFT JOIN sessions s ON s.experiment_id = e.id LEFT JOIN blocks b ON b.session_id = s.id LEFT JOIN trials t ON t.block_id = b.id""",
-    "v_needs_review": "SELECT id, name, paper_id, conflict_flag, created_at FROM experiments WHERE entry_status = 'needs_review'",
+    "v_needs_review": "SELECT id, name, paper_id, conflict_flag, created_at FROM experiments WHERE entry_status = 'needs_review' ORDER BY created_at DESC, id",
     "v_multi_experiment_papers": "SELECT paper_id, count(*) AS n, array_join(array_sort(collect_set(id)), ',') AS ids, min(created_at) AS first_created, max(updated_at) AS last_updated FROM experiments WHERE is_multi_experiment GROUP BY paper_id",
     "v_experiment_tree": "SELECT p.id AS parent_id, p.name AS parent_name, c.id AS child_id, c.experiment_number FROM experiments p LEFT JOIN experiments c ON c.parent_experiment_id = p.id WHERE p.is_multi_experiment",
     # the corrected tree: children are no parents
     "v_experiment_tree_roots": "SELECT p.id AS parent_id, p.name AS parent_name, c.id AS child_id, c.experiment_number FROM experiments p LEFT JOIN experiments c ON c.parent_experiment_id = p.id WHERE p.is_multi_experiment AND p.parent_experiment_id IS NULL",
-    "v_pending_proposals": "SELECT * FROM proposed_parameters WHERE NOT coalesce(promoted, false)",
+    "v_pending_proposals": "SELECT * FROM proposed_parameters WHERE NOT coalesce(promoted, false) ORDER BY element_at(map('low', 1, 'medium', 2, 'high', 3), importance) DESC, element_at(map('low', 1, 'medium', 2, 'high', 3), prevalence) DESC, confidence DESC, parameter_name, id",
     "v_pending_reviews": "SELECT l.*, e.name AS experiment_name, e.paper_id FROM llm_inference_provenance l JOIN experiments e ON e.id = l.experiment_id WHERE l.requires_review AND NOT coalesce(l.reviewed, false)",
     "v_proposal_stats": """
 SELECT parameter_name, count(*) AS n, array_join(array_sort(collect_set(source_paper_id)), ',') AS papers, max(element_at(map('low', 1, 'medium', 2, 'high', 3), importance)) AS importance_rank,
@@ -88,16 +88,36 @@ def migrate(df: DataFrame, columns: dict[str, str], version: str) -> DataFrame:
     return df.withColumn("schema_version", F.coalesce(F.col("schema_version") if "schema_version" in df.columns else F.lit(None), F.lit(version)))
 
 
-def upsert_table(new: DataFrame, table: str, key: str) -> None:
-    """Merge rows into a Parquet table by key. The merged rows are written beside it, then take its place."""
+def upsert_table(new: DataFrame, table: str, key: str, order: str | None = None) -> None:
+    """Merge rows into a Parquet table by key; the whole table is written anew, so for large ones use a format with MERGE.
+
+    The merged rows are written beside the table. The old table keeps its rows under
+    ``__last`` until the new one has its name, and a table that a stop in between left
+    without its name gets it back here first.
+    """
     spark = new.sparkSession
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}__last"):
+        spark.sql(f"ALTER TABLE {table}__last RENAME TO {table}")
     if not spark.catalog.tableExists(table):
-        upsert(new.limit(0), new, key).write.saveAsTable(table)
+        upsert(new.limit(0), new, key, order).write.saveAsTable(table)
         return
-    spark.sql(f"DROP TABLE IF EXISTS {table}__next")
-    upsert(spark.table(table), new, key).write.saveAsTable(f"{table}__next")
-    spark.sql(f"DROP TABLE {table}")
+    for left in (f"{table}__next", f"{table}__last"):
+        spark.sql(f"DROP TABLE IF EXISTS {left}")
+    upsert(spark.table(table), new, key, order).write.saveAsTable(f"{table}__next")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}__last")
     spark.sql(f"ALTER TABLE {table}__next RENAME TO {table}")
+    spark.sql(f"DROP TABLE {table}__last")
+
+
+def append_rows(rows: DataFrame, table: str) -> None:
+    """Append rows that conform to the table's schema; rows whose id is there already are left out, so a replay adds nothing."""
+    spark = rows.sparkSession
+    new = conform(rows, table)
+    if spark.catalog.tableExists(table):
+        new = new.join(spark.table(table).select("id"), "id", "left_anti").select(*new.columns)
+        new.write.insertInto(table)
+    else:
+        new.write.saveAsTable(table)
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
