@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from docsmelt.functions import text as tx
 from docsmelt.functions import values as vl
 from docsmelt.operators import assist, extract, match, report, resolve, retrieve, structure
 from docsmelt.plans.libraries import GENERIC, GENERIC_FALLBACK
+from docsmelt.session import scratch_path
 from docsmelt.sources import files, store
 from docsmelt.streaming import ingest
 
@@ -600,8 +600,9 @@ def page_blocks(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     """The events as a file stream, windowed by hour, all that is there processed."""
     path = f"{sf_dir}/events.parque[t]"  # a pattern, so that one file may stand for the folder
-    name = f"stream_counts_{uuid.uuid4().hex}"
     stream = ingest.file_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = ingest.windowed_counts(stream, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return ingest.latest_counts(spark, counts, ["hour", "event_type"], scratch_path(spark))
+
+
+from docsmelt.plans import more_queries  # noqa: E402, F401 - registers its queries here

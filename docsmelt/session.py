@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -15,3 +17,9 @@ DEFAULTS = {
 
 def get_session(app: str = "docsmelt", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate()
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh folder below the shared one in ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/docsmelt-{uuid.uuid4().hex}"

@@ -15,8 +15,9 @@ EXPERIMENT = f"struct<experiment_number:int,experiment_title:string,parameters:m
 BATCH = f"paper_name string, success boolean, error string, is_multi_experiment boolean, num_experiments int, param_counts array<int>, unique_params int, all_params array<string>, extraction_result struct<is_multi_experiment:boolean,num_experiments:int,parameters:map<string,{PARAM}>,experiments:array<{EXPERIMENT}>,shared_parameters:map<string,{PARAM}>>"
 
 
-def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BATCH).json(path, multiLine=True)
+def read_batch_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Papers of a batch, from a JSON array, or from JSON lines, which any number of tasks can read."""
+    return spark.read.schema(BATCH).json(path, multiLine=not lines)
 
 
 def batch_params(results: DataFrame) -> DataFrame:
