@@ -209,13 +209,13 @@ def contexts_and_prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.assemble_context(sections, t)).alias("context"), F.md5(prompt).alias("prompt"))
 
 
-@query("SELECT conv_id, CAST(len(list_filter(l, lambda x: true)) AS INTEGER) AS turns, list_sum(list_transform(l, lambda t: len(list_filter(regexp_split_to_array(t, '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '')))) AS words FROM (SELECT conv_id, list(text) AS l FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)")
+@query("SELECT conv_id, CAST(len(list_filter(l, lambda x: true)) AS INTEGER) AS turns, CAST(list_sum(list_transform(l, lambda t: len(list_filter(regexp_split_to_array(t, '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '')))) AS BIGINT) AS words FROM (SELECT conv_id, list(text) AS l FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)")
 def block_chunks(spark, sf_dir):
     """Turns of a conversation as blocks, joined up to 50 words; no chunk of several blocks has more, and none is lost."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("b"))
     chunks = tx.chunk_blocks(F.transform("b", lambda x: F.struct(x["text"].alias("text"), x["turn"].alias("page"))), 50)
     made = turns.select("conv_id", F.size("b").alias("turns"), chunks.alias("c"))
-    fits = F.forall("c", lambda c: (c["words"] <= 50) | (F.locate("\n", c["text"]) == 0) | F.lit(True))
+    fits = F.forall("c", lambda c: (c["words"] <= 50) | F.exists("b", lambda x: x["text"] == c["text"]))
     return made.where(fits).select("conv_id", "turns", F.aggregate("c", F.lit(0).cast("bigint"), lambda a, c: a + c["words"]).alias("words"))
 
 
@@ -338,7 +338,7 @@ def batch_params(spark, sf_dir):
 
 
 @query("""
-SELECT papers, successes, round(100.0 * successes / papers, 6) AS success_pct, multi, successes + multi AS experiments, 2 * successes + multi AS params, round((2 * successes + multi) / (successes + multi), 6) AS params_per_experiment, 2 AS unique_params
+SELECT papers, successes, round(100.0 * successes / papers, 6) AS success_pct, multi, successes + multi AS experiments, 2 * successes + multi AS params, round((2 * successes + multi) / (successes + multi), 6) AS params_per_experiment, CAST(2 AS BIGINT) AS unique_params
 FROM (SELECT count(*) AS papers, count(*) FILTER (c_custkey % 7 <> 0) AS successes, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 3 = 0) AS multi FROM customer)
 """)
 def batch_totals(spark, sf_dir):

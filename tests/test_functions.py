@@ -1,5 +1,7 @@
 """Scalar functions and parsers on small inline rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +292,95 @@ def test_batch_summary(spark):
     r = report.batch_summary(df).first()
     assert (r["papers"], r["successes"], r["multi"], r["experiments"], r["params_per_experiment"], r["unique_params"]) == (3, 2, 1, 3, round(8 / 3, 6), 2)
     assert [tuple(x) for x in report.param_frequency(df).collect()] == [("x", 2), ("y", 1)]
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "docsmelt"), tmp_path / "docsmelt", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    show = "import __spark_entry__ as e; q = e.queries(); print(len(q), sorted(e.oracle_sql()) == sorted(q), any(n.startswith('op') for n in q))"
+    run = lambda: subprocess.run([sys.executable, "-c", show], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.split()[1:] == ["True", "False"]
+    os.makedirs(tmp_path / "docsmelt" / "llm")  # an empty folder left behind is no package
+    assert run().stdout.split()[1:] == ["True", "False"]
+    (tmp_path / "docsmelt" / "llm" / "queries.py").write_text("import a_library_that_is_missing")
+    assert "a_library_that_is_missing" in run().stderr
+
+
+def test_sections_of_rows_that_share_a_key(spark):
+    docs = spark.createDataFrame([(1, "Methods\naaa\nResults\nbbb"), (1, "Methods\nxxx\nResults\nyyy"), (2, None), (3, "")], "id int, text string")
+    rows = [(r["id"], r["section"], r["body"]) for r in structure.sections(docs, ["id"]).collect()]
+    assert sorted(rows) == [(1, "methods", "aaa"), (1, "methods", "xxx"), (1, "results", "bbb"), (1, "results", "yyy")]
+    both = structure.experiments(spark.createDataFrame([(1, "Task 1: One of them\na\nStudy two\nb"), (1, "Experiment 3\nc"), (2, None)], "id int, text string"), ["id"]).collect()
+    assert sorted((r["number"], r["title"], r["body"]) for r in both) == [(1, "One of them", "Task 1: One of them\na"), (2, "Experiment 2", "Study two\nb"), (3, "Experiment 3", "Experiment 3\nc")]
+
+
+@pytest.mark.parametrize("text,groups", [("a 2x2 factorial", 4), ("3 × 2 factorial design", 6), ("2-by-3 factorial", 6), ("targets were 2x2 cm", None), ("two groups", None), ("four experimental groups", 4), ("13 groups", None), (None, None)])
+def test_group_counts(spark, text, groups):
+    from docsmelt.operators import extract
+
+    assert spark.createDataFrame([(text,)], "t string").select(extract.group_count(F.col("t")).alias("n")).first()["n"] == groups
+
+
+def test_words_of_any_script_are_joined(spark):
+    from docsmelt.functions.text import clean_text
+
+    assert spark.createDataFrame([("pré- férence des вы- боров",)], "t string").select(clean_text(F.col("t")).alias("t")).first()["t"] == "préférence des выборов"
+
+
+def test_upsert_survives_a_stop_between_renames(spark):
+    from docsmelt.sources import store
+
+    spark.sql("DROP TABLE IF EXISTS stopped")
+    store.upsert_table(spark.createDataFrame([(1, "a")], "id int, v string"), "stopped", "id")
+    spark.sql("ALTER TABLE stopped RENAME TO stopped__last")  # as if the process had ended here
+    store.upsert_table(spark.createDataFrame([(2, "b"), (2, "c")], "id int, v string").withColumn("n", F.ascii("v")).drop("n"), "stopped", "id")
+    assert {r["id"] for r in spark.table("stopped").collect()} == {1, 2}
+    spark.sql("DROP TABLE stopped")
+
+
+def test_provenance_is_appended_once(spark):
+    from docsmelt.sources import code, store
+
+    spark.sql("DROP TABLE IF EXISTS provenance")
+    files = spark.createDataFrame([("/a.py", "python", "x = 1"), ("/b.json", "json", "{}")], "path string, kind string, text string")
+    for _ in range(2):
+        store.append_rows(code.provenance(files, F.lit("e1"), "1"), "provenance")
+    assert spark.table("provenance").count() == 2
+    spark.sql("DROP TABLE provenance")
+
+
+def test_yaml_without_its_library(monkeypatch):
+    from docsmelt.sources import code
+
+    monkeypatch.setattr(code, "yaml", None)
+    assert code.parse_yaml("a:\n  b: 1 # x\nc: d") == {"a": {"b": "1"}, "c": "d"}
+    with pytest.raises(ValueError, match="PyYAML"):
+        code.parse_yaml("a:\n  - 1")
+
+
+def test_proposals_are_saved(spark, tmp_path):
+    from docsmelt.operators import assist
+
+    rows = spark.createDataFrame([("p", "d")], "parameter_name string, description string")
+    assist.save_proposals(rows, f"{tmp_path}/j", model="stub")
+    assist.save_proposals(rows, f"{tmp_path}/c", "csv")
+    saved = spark.read.json(f"{tmp_path}/j").first()
+    assert saved["model"] == "stub" and saved["proposal"]["parameter_name"] == "p" and spark.read.csv(f"{tmp_path}/c", header=True).count() == 1
+
+
+def test_answers_without_json_are_asked_again(spark):
+    from docsmelt.operators import assist
+
+    class Second:
+        name = "second"
+
+        def generate(self, prompts, temperature, max_tokens):
+            return ['{"a": 1}' if "JSON object only" in p or p == "good" else "no" for p in prompts]
+
+    rows = assist.answer_json(spark.createDataFrame([("good",), ("bad",)], "prompt string"), "prompt", Second(), "verify").collect()
+    assert sorted((r["attempts"], r["answer"]) for r in rows) == [(1, '{"a": 1}'), (2, '{"a": 1}')]
