@@ -815,3 +815,64 @@ def test_pipeline_stages_with_nulls_repeated_ids_and_no_rows(spark, name):
         assert sum(r["length"] for r in out if r["doc_id"] is None) >= 3 and {r["start"] for r in out} == {0}
     else:
         assert len(out) <= len(rows)
+
+
+# --- nulls, ties, repeated rows and clashing names, operator by operator ---------------------
+
+
+def hostile(spark):
+    """Null ids, repeated rows, one id with two texts, and columns named like outputs."""
+    rows = [(None, "same text"), (None, "same text"), (None, None), (3, "call 743-555-3824"), (3, "call 743-555-3824"), (3, "other"), (4, ""), (5, None)]
+    schema = "doc_id long, text string, n_tokens int, id string, score double, n_bytes string, n_entities int, start int, predicted string, batch int, fingerprint int, component_id string, _id int, _text string"
+    return spark.createDataFrame([(i, t, 1, "x", 0.5, "b", 2, 3, "p", 4, 5, "c", 6, "t") for i, t in rows], schema).repartition(3), [t for _, t in rows]
+
+
+def test_row_operators_give_one_row_for_each_input_row(spark, byte_library, word_library):
+    df, texts = hostile(spark)
+    count = lambda rows, key: Counter(key(r) for r in rows)
+    length = lambda library, t: len(library.encode(t or "", add_special_tokens=False).ids)
+    assert count(token_counts.token_counts(df, WORD).collect(), lambda r: r["n_tokens"]) == Counter(length(word_library, t) for t in texts)
+    assert count(token_ops.encode_digests(df, BYTE).collect(), lambda r: r["n_tokens"]) == Counter(length(byte_library, t) for t in texts)
+    found = pii.replace_entities(df, keep=("n_entities", "score")).collect()
+    assert count(found, lambda r: r["n_entities"]) == Counter({0: 6, 1: 2}) and {r["n_entities_input"] for r in found} == {2} and {r["score"] for r in found} == {0.5}
+    scored = quality.quality_scores(df, np.zeros(quality.SLOTS + 1), keep=("predicted",)).collect()
+    assert len(scored) == len(texts) and {r["predicted_input"] for r in scored} == {"p"} and {r["score"] for r in scored} == {0.5}
+    removed = substring_dedup.remove_repeats(df.withColumn("n_words", F.lit(9)), keep=("n_words",)).collect()
+    assert len(removed) == len(texts) and {r["n_words_input"] for r in removed} == {9}
+
+
+def test_packing_names_sequences_once_over_all_tasks(spark, byte_library):
+    df, texts = hostile(spark)
+    rows = packing.pack_documents(df, BYTE, capacity=8, keep=("start",)).collect()
+    assert sum(r["length"] for r in rows) == sum(len(byte_library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    windows = {}
+    for r in rows:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in windows.values():  # two tasks with one id would overlap here
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)])]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 8
+    assert {r["start_input"] for r in rows} == {3}
+
+
+def test_op7_repeated_rows(spark):
+    df, texts = hostile(spark)
+    rows = simhash.near_duplicates(df).collect()
+    assert len(rows) == len(texts) and simhash.near_duplicates(df.limit(0)).count() == 0
+    zero = [r for r in rows if r["fingerprint"] == "0" * 16]
+    assert len(zero) == 3 and {r["component_id"] for r in zero} == {4}
+    assert {r["component_id"] for r in rows if r["doc_id"] == 3} == {3}
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    from docsmelt.llm import common
+
+    with common.scratch_scope(spark):
+        path = common.scratch_dir(spark)
+        spark.range(3).write.parquet(f"{path}/t")
+        assert path in common._made and spark.read.parquet(f"{path}/t").count() == 3
+    assert path not in common._made and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_tiles_have_more_parts_where_one_is_full(spark):
+    prints = spark.range(4000).select(F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"))
+    assert simhash.least_parts(prints, 2, 1, 10_000) == 4 and simhash.least_parts(prints, 2, 1, 500) == 8 and simhash.least_parts(prints, 2, 1, 2) == 16
