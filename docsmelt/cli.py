@@ -36,9 +36,7 @@ def main(argv: list[str] | None = None) -> None:
         texts = texts.select("path", "kind", F.col("content").cast("string").alias("text"))
         merged = code.merge_files(code.file_params(texts, libraries.alias_table()))
         prose = texts.where(F.col("kind").isin("markdown", "txt", "tex"))
-        main = extract.candidates(prose, libraries.MOTOR_LEARNING, ["path"])
-        short = extract.candidates(prose, libraries.MOTOR_FALLBACK, ["path"], lib="fallback")
-        best = extract.best(extract.with_fallback(main, short, ["path", "param"]), ["path", "param"])
+        best = extract.best(extract.candidates_with_fallback(prose, libraries.MOTOR_LEARNING, libraries.MOTOR_FALLBACK, ["path"]), ["path", "param"])
         merged.show(100, False)
         best.select("path", "param", "value_raw", "confidence").show(100, False)
         if a.table:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsmelt.functions.values import level_confidence, level_rank, parse_json
+from docsmelt.session import written
 
 
 class Provider(Protocol):
@@ -191,10 +192,13 @@ def save_proposals(rows: DataFrame, path: str, fmt: str = "json", model: str = "
 
 
 def answer_json(rows: DataFrame, prompt: str, by: Provider, task: str, again: str = "\n\nAnswer with one valid JSON object only.") -> DataFrame:
-    """``generate`` with one more try, under a stricter prompt, for answers that hold no JSON; ``attempts`` says how many it took."""
-    first = generate(rows, prompt, by, task)
+    """``generate`` with one more try, under a stricter prompt, for answers that hold no JSON; ``attempts`` says how many it took.
+
+    Answers are written down as they come, so that no prompt is sent twice.
+    """
+    first = written(generate(rows, prompt, by, task))
     good = parse_json(F.col("answer")).isNotNull()
-    second = generate(first.where(~F.coalesce(good, F.lit(False))).drop("answer", "error").withColumn(prompt, F.concat(F.col(prompt), F.lit(again))), prompt, by, task)
+    second = written(generate(first.where(~F.coalesce(good, F.lit(False))).drop("answer", "error").withColumn(prompt, F.concat(F.col(prompt), F.lit(again))), prompt, by, task))
     return first.where(good).withColumn("attempts", F.lit(1)).unionByName(second.withColumn("attempts", F.lit(2)))
 
 
@@ -234,9 +238,9 @@ def assisted(docs: DataFrame, found: DataFrame, critical: list[str], names: list
     Returns scope, param, value, confidence, source_type, stage. A stage sees only what the
     ones before it left, and adds accepted answers only.
     """
-    first = verify_and_fill(docs, found, critical, scope, text, by).withColumn("stage", F.lit("verify")).where("value is not null")
+    first = written(verify_and_fill(docs, found, critical, scope, text, by).withColumn("stage", F.lit("verify")).where("value is not null"))
     extra = lambda rows, stage: rows.where("verdict = 'accepted'").select(scope, "param", "value", "confidence", F.lit("llm_inference").alias("source_type"), F.lit(stage).alias("stage"))
-    second = first.unionByName(extra(find_missed(docs, first, scope, text, by), "missed"))
+    second = written(first.unionByName(extra(find_missed(docs, first, scope, text, by), "missed")))
     expected = docs.select(scope, F.explode(F.array(*[F.lit(n) for n in names])).alias("param"))
     poor = docs.join(gate(second, expected, scope, share).select(scope), scope, "left_semi")
     return second.unionByName(extra(infer_remaining(poor, second, names, scope, text, by), "infer"))

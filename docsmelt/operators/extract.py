@@ -41,7 +41,26 @@ def candidates(docs: DataFrame, library: list[Pattern], scope: list[str], text:
     return score(out, lib != "main")
 
 
-def score(rows: DataFrame, fallback: bool = False) -> DataFrame:
+def candidates_with_fallback(
+    docs: DataFrame, library: list[Pattern], fallback: list[Pattern], scope: list[str], text: str = "text", section: str | None = None, ignore_case: bool = True
+) -> DataFrame:
+    """``candidates`` of the main library, and of the fallback library for parameters that the main one did not find in the row.
+
+    Both are read in one projection, and what the fallback may add is decided within the
+    row: no join, no shuffle, and no text is read twice.
+    """
+    all_of = lambda lib: F.flatten(F.array(*[matches(F.col(text), p, k, ignore_case) for k, p in enumerate(lib)]))
+    plausible = lambda c: values.plausible_trials(c["param"], values.typed(c["value_raw"], c["kind"])["value_num"])
+    where = F.col(section) if section else F.lit("full_text")
+    rows = docs.select(*scope, where.alias("section"), F.filter(all_of(library), plausible).alias("_main"), all_of(fallback).alias("_short"))
+    rows = rows.withColumn("_names", F.transform("_main", lambda c: c["param"]))
+    added = F.filter("_short", lambda c: ~F.array_contains("_names", c["param"]))
+    tagged = lambda found, lib: F.transform(found, lambda c: F.struct(F.lit(lib).alias("lib"), c.alias("c")))
+    out = rows.select(*scope, "section", F.explode(F.concat(tagged(F.col("_main"), "main"), tagged(added, "fallback"))).alias("x"))
+    return score(out.select(*scope, "section", "x.lib", "x.c.*"), F.col("lib") != "main")
+
+
+def score(rows: DataFrame, fallback: bool | Column = False) -> DataFrame:
     """Typed value and confidence of candidates; implausible trial counts go."""
     words = F.filter(F.split("param", "_"), lambda w: F.length(w) > 3)
     unit = F.when(F.col("param").rlike("_deg$|rotation"), r"deg|°").when(F.col("param").rlike("_ms$|delay|interval|duration"), r"\b(ms|s|sec|seconds?|milliseconds?)\b").when(
@@ -50,7 +69,7 @@ def score(rows: DataFrame, fallback: bool = False) -> DataFrame:
     typed = values.typed(F.col("value_raw"), F.col("kind"))
     rows = rows.withColumn("t", typed).where(values.plausible_trials(F.col("param"), F.col("t.value_num")))
     quality = values.pattern_quality(F.col("context"), unit, words)
-    conf = values.final_confidence(F.col("t.base"), quality, F.col("section"), F.lit(fallback))
+    conf = values.final_confidence(F.col("t.base"), quality, F.col("section"), fallback if isinstance(fallback, Column) else F.lit(fallback))
     return rows.select("*", "t.value_num", "t.value_str", "t.value_bool", conf.alias("confidence"), F.substring("context", 1, 200).alias("evidence")).drop("t", "context")
 
 

@@ -83,13 +83,13 @@ MOTOR_LEARNING = [
     Pattern("error_clamp", "string", r"(error[- ]clamp(?:ed)?)"),
     Pattern("primary_outcomes", "string", r"\b(hand angle|reach angle|aiming|movement error|adaptation rate)\b"),
     Pattern("mechanism_focus", "string", r"\b(implicit|explicit) (?:learning|adaptation|strategy)"),
-    Pattern("lab_name", "string", r"([A-Z][A-Za-z]+ Lab(?:oratory)?)"),
+    Pattern("lab_name", "string", r"\b((?-i:[A-Z][A-Za-z]+ Lab)(?:oratory)?)\b"),
     Pattern("year", "integer", r"\b((?:19|20)[0-9]{2})\b"),
     Pattern("doi_or_url", "string", r"(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)"),
     Pattern("dataset_link", "string", r"(https?://(?:osf\.io|github\.com|zenodo\.org)/[A-Za-z0-9_./-]+)"),
     # second readings, for what is written another way round
-    Pattern("authors", "string", r"^(?:authors?: ?)([A-Z][^\n]{3,200})$"),
-    Pattern("authors", "string", r"^by ([A-Z][\w.'-]+(?: [A-Z][\w.'-]+)+(?:(?:, | and )[A-Z][\w.'-]+(?: [A-Z][\w.'-]+)+)*)$"),
+    Pattern("authors", "string", r"^(?:authors?: ?)((?-i:[A-Z])[^\n]{3,200})$"),
+    Pattern("authors", "string", r"^by ((?-i:[A-Z])[\w.'-]+(?: (?-i:[A-Z])[\w.'-]+)+(?:(?:, | and )(?-i:[A-Z])[\w.'-]+(?: (?-i:[A-Z])[\w.'-]+)+)*)$"),
     Pattern("n_total", "integer", rf"recruited {_COUNT} "),
     Pattern("sample_size_n", "integer", rf"sample (?:size )?(?:of|was) {_COUNT}"),
     Pattern("sample_size_per_group", "integer", rf"{_COUNT} in each group"),
@@ -115,7 +115,7 @@ MOTOR_LEARNING = [
     Pattern("target_distance_cm", "float", rf"distance of {_NUM} ?cm"),
     Pattern("number_of_locations", "integer", rf"one of {_COUNT} (?:target )?locations"),
     Pattern("outcome_measures", "string", r"(?:outcome|dependent) (?:measures?|variables?) (?:was|were|included) ([^.\n]{4,100})"),
-    Pattern("lab_name", "string", r"laboratory of ([A-Z][\w .-]{3,60})"),
+    Pattern("lab_name", "string", r"laboratory of ((?-i:[A-Z])[\w .-]{3,60})"),
     Pattern("year", "integer", r"\(c\) ?((?:19|20)[0-9]{2})"),
     Pattern("doi_or_url", "string", r"doi: ?(\S+)"),
 ]

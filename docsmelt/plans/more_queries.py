@@ -52,8 +52,7 @@ _REPORT_TEXT = _cases("p_partkey", [t for t, _ in _REPORTS], "p_size")
 def domain_library(spark, sf_dir):
     """The domain library over whole texts, line by line and in any case, then the fallback library for what it did not find."""
     docs = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_REPORT_TEXT} text")
-    main = extract.candidates(docs, MOTOR_LEARNING, ["p_partkey"])
-    rows = extract.with_fallback(main, extract.candidates(docs, MOTOR_FALLBACK, ["p_partkey"], lib="fallback"), ["p_partkey", "param"])
+    rows = extract.candidates_with_fallback(docs, MOTOR_LEARNING, MOTOR_FALLBACK, ["p_partkey"])
     return extract.best(rows, ["p_partkey", "param"]).select("p_partkey", "param", "value_raw")
 
 
@@ -535,3 +534,11 @@ def synonym_matches(spark, sf_dir):
 def same_papers(spark, sf_dir):
     turn = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % 3 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", tx.same_paper(turn("Smith_2019.pdf", "On  Reaching.PDF", "Lee 2020"), turn("smith 2019 more", "on_reaching", "Lee 2021")).alias("same"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text || chr(10) || 'Published in ' || (1990 + doc_id % 30) || '.', '\\b(?:19|20)[0-9]{2}\\b')) AS BIGINT) AS years FROM documents")
+def domain_years(spark, sf_dir):
+    """Both domain libraries over whole documents that end in a line with a year; how many years they find in each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nPublished in "), (F.col("doc_id") % 30 + 1990).cast("string"), F.lit(".")).alias("text"))
+    rows = extract.candidates_with_fallback(docs, MOTOR_LEARNING, MOTOR_FALLBACK, ["doc_id"])
+    return rows.where("param = 'year'").groupBy("doc_id").agg(F.count("*").alias("years"))

@@ -98,7 +98,7 @@ def param_counts(spark, sf_dir):
     "SELECT doc_id, param, lib, value_raw, confidence FROM (" + _BEST_SQL.format(rows="SELECT * FROM k") + ")"
 )
 def fallback_library(spark, sf_dir):
-    rows = extract.with_fallback(_found(spark, sf_dir), _found(spark, sf_dir, GENERIC_FALLBACK, "fallback"), ["doc_id", "param"])
+    rows = extract.candidates_with_fallback(table(spark, sf_dir, "documents"), GENERIC, GENERIC_FALLBACK, ["doc_id"], ignore_case=False)
     return extract.best(rows, ["doc_id", "param"]).select("doc_id", "param", "lib", "value_raw", "confidence")
 
 
