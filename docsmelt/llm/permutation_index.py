@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from docsmelt.llm.vector_blocks import Block, search_blocks, valid_vectors
 
-#: Pivots: valid vectors with the least hashes, a bounded sample that is broadcast.
-PIVOTS = 512
+#: Vectors that pivots are chosen from (those with the least hashes), and pivots, which are broadcast.
+SAMPLE, PIVOTS = 2_048, 512
 #: Pivots in the order that represents a vector.
 PLACES = 96
 #: Distinct vectors of a block that are reranked, at least, and as a part of the block.
-RERANK, RERANK_PART = 400, 0.06
+RERANK, RERANK_PART = 400, 0.07
 #: Rows whose distances to all pivots are formed at once.
 ORDER_ROWS = 2_048
 
@@ -71,7 +71,7 @@ class PermutationIndex:
         return np.sort(np.argpartition(np.arange(self.size) - shared.astype(np.int64) * self.size, count)[:count])
 
 
-def choose_pivots(vectors: DataFrame, rows: int, count: int) -> np.ndarray:
+def sample_vectors(vectors: DataFrame, rows: int, count: int) -> np.ndarray:
     """At most ``count`` distinct vectors, those with the least hashes.
 
     Only rows with hashes in the least part that holds some times as many, going by their
@@ -87,6 +87,24 @@ def choose_pivots(vectors: DataFrame, rows: int, count: int) -> np.ndarray:
     return np.array([r["vec"] for r in found], float)
 
 
+def spread_pivots(sample: np.ndarray, count: int, longest: float) -> np.ndarray:
+    """``count`` of the sampled vectors that lie far apart: each is the one farthest from those before it.
+
+    Distances are those of the index, with the added component. A crowd of near copies,
+    which holds as large a part of a plain sample as of the table, gets few pivots, so the
+    orders of all other vectors still tell them apart.
+    """
+    if len(sample) <= count:
+        return sample
+    x = np.hstack((sample, np.sqrt(np.maximum(longest**2 - (sample**2).sum(axis=1, keepdims=True), 0))))
+    far = ((x - x[0]) ** 2).sum(axis=1)
+    taken = [0]
+    while len(taken) < count:
+        taken.append(int(np.argmax(far)))
+        far = np.minimum(far, ((x - x[taken[-1]]) ** 2).sum(axis=1))
+    return sample[taken]
+
+
 def nearest(
     df: DataFrame,
     is_query: Column,
@@ -109,7 +127,8 @@ def nearest(
     play no part.
     """
     vectors, rows, components, longest = valid_vectors(df, id_col, vector_col, True)
-    shared = df.sparkSession.sparkContext.broadcast((choose_pivots(vectors, rows, pivots), longest))
+    chosen = spread_pivots(sample_vectors(vectors, rows, max(SAMPLE, pivots)), pivots, longest)
+    shared = df.sparkSession.sparkContext.broadcast((chosen, longest))
 
     def index(block: Block):
         made = PermutationIndex(block.vectors, shared.value[0], places, shared.value[1])
