@@ -42,6 +42,8 @@ class PermutationIndex:
         self.kind = np.int16 if self.places < 181 else np.int32  # holds the sum of all places
         self.place = (post % self.places).astype(self.kind)
         self.size = len(vectors)
+        most = self.places * (self.places + 1) // 2  # what an order shares with itself
+        self.numbers = np.arange(self.size, dtype=np.int32 if (most + 1) * self.size < 2**31 else np.int64)
 
     def added(self, vectors: np.ndarray) -> np.ndarray:
         """The component that brings vectors to the largest norm."""
@@ -68,7 +70,8 @@ class PermutationIndex:
         for place, pivot in enumerate(orders.tolist()):
             a, b = self.first[pivot], self.first[pivot + 1]
             shared[self.rows[a:b]] += self.kind(self.places) - np.maximum(self.place[a:b], self.kind(place))
-        return np.sort(np.argpartition(np.arange(self.size) - shared.astype(np.int64) * self.size, count)[:count])
+        key = self.numbers - shared.astype(self.numbers.dtype) * self.numbers.dtype.type(self.size)
+        return np.sort(np.argpartition(key, count)[:count])
 
 
 def sample_vectors(vectors: DataFrame, rows: int, count: int) -> np.ndarray:
@@ -135,14 +138,16 @@ def nearest(
         count = max(rerank, k, int(rerank_part * made.size))
 
         def search(ids: np.ndarray, queries: np.ndarray):
-            out = []
+            asked, taken, gained = [], [], []
             for j, order in enumerate(made.order_of_queries(queries)):
                 found = made.near(order, count)
                 found = found[~block.lone[found] | (block.first[found] != ids[j])]  # each has a row besides the query's own
                 scores = (block.vectors[found] * queries[j]).sum(axis=1)
                 some = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
-                out.append(block.best(np.full(len(some), j), found[some], scores[some], ids))
-            return tuple(np.concatenate(x) for x in zip(*out))
+                asked.append(np.full(len(some), j))
+                taken.append(found[some])
+                gained.append(scores[some])
+            return block.best(*(np.concatenate(x) for x in (asked, taken, gained)), ids)
 
         return search
 
