@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docsmelt.llm.common import kept_names
+from docsmelt.llm.common import kept_names, release_memory
 from docsmelt.llm.token_ops import encoded_passes
 
 #: Tokens that a task gathers before it packs them; whole windows, so little is padded.
@@ -162,6 +162,8 @@ def pack_documents(
                     held, ids, sizes, gathered = [], [], [], 0
         if held:
             yield emit(held, ids, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), base)[0]
+        held, ids = [], []
+        release_memory()
 
     schema = f"_id {kinds['_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     schema += ", ids array<int>" * with_ids + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))

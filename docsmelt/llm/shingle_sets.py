@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import materialise, passes, scratch_dir, scratch_scope
+from docsmelt.llm.common import materialise, passes, release_memory, scratch_dir, scratch_scope
 from docsmelt.llm.components import connected_components, link_roots
 from docsmelt.llm.simhash import _LOWER
 
@@ -89,6 +89,7 @@ def text_sets(df: DataFrame, shingle: int, id_col: str, text_col: str, keep: tup
                 given = [c.slice(lo, hi - lo) for c in batch.columns]
                 columns = [*given[:2], pa.array(name, pa.string()), pa.array(size, pa.int64()), _binary(sketch, first), *given[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     kinds = dict(rows.dtypes) | {"set": "string", "size": "bigint", "sketch": "binary"}
     return rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import kept_names, passes
+from docsmelt.llm.common import kept_names, passes, release_memory
 
 #: Text bytes of one batch, and words of one bucket of hashes, at least.
 BATCH_BYTES = 4 << 20
@@ -252,11 +252,28 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
             ["_id", "n_words", "n_removed", "kept_text", *[f"_k{i}" for i in range(len(keep))]],
         )
 
+    def lean(work):
+        """A group's work, after which its memory goes back: the next group is another worker's or as large."""
+
+        def two(key, table):
+            try:
+                return work(key, table)
+            finally:
+                release_memory()
+
+        def three(key, table, replies):
+            try:
+                return work(key, table, replies)
+            finally:
+                release_memory()
+
+        return three if work in (extend, mark) else two
+
     texts = dealt.groupBy("batch")
-    probes = texts.applyInArrow(probe, "batch bigint, bucket bigint, rolling binary, anchors binary")
-    hits = probes.groupBy("bucket").applyInArrow(match, "batch bigint, bucket bigint, hits binary")
-    wide = texts.cogroup(hits.groupBy("batch")).applyInArrow(extend, "batch bigint, bucket bigint, wide binary")
-    again = wide.groupBy("bucket").applyInArrow(confirm, "batch bigint, again binary")
+    probes = texts.applyInArrow(lean(probe), "batch bigint, bucket bigint, rolling binary, anchors binary")
+    hits = probes.groupBy("bucket").applyInArrow(lean(match), "batch bigint, bucket bigint, hits binary")
+    wide = texts.cogroup(hits.groupBy("batch")).applyInArrow(lean(extend), "batch bigint, bucket bigint, wide binary")
+    again = wide.groupBy("bucket").applyInArrow(lean(confirm), "batch bigint, again binary")
     schema = f"_id {kinds['_id']}, n_words bigint, n_removed bigint, kept_text string" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
-    out = texts.cogroup(again.groupBy("batch")).applyInArrow(mark, schema)
+    out = texts.cogroup(again.groupBy("batch")).applyInArrow(lean(mark), schema)
     return out.withColumnRenamed("_id", id_col).withColumnsRenamed(kept_names(keep, ["n_words", "n_removed", "kept_text", id_col]))
