@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import materialise, passes, release_memory, scratch_dir, scratch_scope
+from docsmelt.llm.common import gather_ranges, materialise, passes, release_memory, scratch_dir, scratch_scope, spans
 from docsmelt.llm.components import connected_components, link_roots
 from docsmelt.llm.simhash import _LOWER
 
@@ -28,7 +28,7 @@ from docsmelt.llm.simhash import _LOWER
 BLOCK = 256
 #: Rows of a tile: sets of adjoining sizes.
 TILE_ROWS = 1 << 13
-#: Shingles of candidate sets that one group of components holds, about.
+#: Shingles of candidate sets that one group of components holds, about; a component with more is compared block by block.
 GROUP_SHINGLES = 1 << 21
 #: Bits of the smallest sketch.
 LEAST_BITS = 128
@@ -189,9 +189,10 @@ def candidate_links(nodes: DataFrame, rule: Similarity) -> DataFrame:
             last = r["n"] if n == 1 else None
         first[r["band"]], spread[r["band"]] = len(tiles) - n, n
 
-    def near(s: int, t: int) -> bool:
-        gap = max(tiles[s][0] - tiles[t][1], tiles[t][0] - tiles[s][1], 0)
-        return rule.may(gap, gap + 2 * min(tiles[s][1], tiles[t][1])) if gap else True
+    # sizes a <= b may be similar where a * q >= b * p, so the tiles near to one are neighbours
+    low, high = (np.array([t[k] for t in tiles], np.int64) for k in (0, 1))
+    begin = np.searchsorted(high * rule.q, low * rule.p, "left")
+    reach = np.searchsorted(low * rule.p, high * rule.q, "right") - begin
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -200,18 +201,13 @@ def candidate_links(nodes: DataFrame, rule: Similarity) -> DataFrame:
             bands, at = batch.column(3).to_numpy(), batch.column(0).to_numpy()
             mixed = ts.mix(at.astype(np.uint64))
             tile = np.array([first[b] for b in bands.tolist()]) + (mixed % np.array([spread[b] for b in bands.tolist()], np.uint64)).astype(np.int64)
-            take, other = [], []
-            for s in np.unique(tile).tolist():
-                mine = np.flatnonzero(tile == s)
-                for t in range(len(tiles)):
-                    if near(s, t):
-                        take.append(mine)
-                        other.append(np.full(len(mine), t))
-            take, other = np.concatenate(take), np.concatenate(other)
-            u, v = np.minimum(tile[take], other), np.maximum(tile[take], other)
-            for k in range(0, len(take), 4096):  # batches stay small where sketches are long
-                some = pa.array(take[k : k + 4096])
-                columns = [pa.array(c[k : k + 4096], pa.int32()) for c in (u, v, tile[take])]
+            # few copies at a time, whatever the number of tiles, and fewer where sketches are long
+            for lo, hi in spans(np.concatenate(([0], np.cumsum(reach[tile]))), 4096):
+                mine = tile[lo:hi]
+                other = gather_ranges(begin[mine], reach[mine])
+                take = np.repeat(np.arange(lo, hi), reach[mine])
+                u, v, some = np.minimum(tile[take], other), np.maximum(tile[take], other), pa.array(take)
+                columns = [pa.array(c, pa.int32()) for c in (u, v, tile[take])]
                 yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c).take(some) for c in range(3)]], ["u", "v", "tile", "at", "size", "sketch"])
 
     def compare(key, table):
@@ -255,11 +251,14 @@ def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, shingle: int,
     """(at, root) for the nodes of candidate components, root the node they reach over exactly similar pairs.
 
     One text of each set of a component comes to the component's group, and sets are made
-    of it again; a task's memory is the sets of one component at least.
+    of it again. A component of more than ``GROUP_SHINGLES`` shingles is dealt into blocks,
+    and each pair of its blocks is a group of its own, so a task holds about two blocks
+    whatever the size of the component; the roots of the pairs are links between tasks.
     """
     parts = materialise(connected_components(links, "a", "b").select(F.col("node").alias("at"), F.col("root").alias("part")), "candidates")
-    total = parts.join(nodes, "at").agg(F.sum("size")).first()[0] or 0
-    groups = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-total // GROUP_SHINGLES))))
+    weights = parts.join(nodes.select("at", "size"), "at").groupBy("part").agg(F.sum("size").alias("weight"))
+    total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
+    groups = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-(total or 0) // GROUP_SHINGLES))))
 
     def decide(key, table):
         table = table.sort_by([("part", "ascending"), ("size", "ascending"), ("at", "ascending")])
@@ -274,8 +273,18 @@ def confirmed(nodes: DataFrame, rows: DataFrame, links: DataFrame, shingle: int,
             root[a:b] = a + similar_roots(sets[a:b], rule)
         return pa.table([pa.array(at), pa.array(at[root])], ["at", "root"])
 
-    sets = rows.select("at", "size", "text").join(parts, "at").withColumn("group", groups)
-    return sets.groupBy("group").applyInArrow(decide, "at bigint, root bigint")
+    def decided(parts: DataFrame, *keys: str) -> DataFrame:
+        return rows.select("at", "size", "text").join(parts, "at").groupBy(*keys).applyInArrow(decide, "at bigint, root bigint")
+
+    if (most or 0) <= GROUP_SHINGLES:
+        return decided(parts.withColumn("group", groups), "group")
+    cut = parts.join(weights.select("part", F.ceil(F.col("weight") / GROUP_SHINGLES).alias("blocks")), "part")
+    block = F.pmod(F.xxhash64("at"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: b != block)
+    pairs = cut.where("blocks > 1").select("at", "part", block.alias("block"), F.explode(others).alias("other"))
+    pairs = pairs.select("at", "part", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    light = decided(cut.where("blocks = 1").select("at", "part", groups.alias("group")), "group")
+    return light.unionByName(connected_components(decided(pairs, "part", "u", "v"), "at", "root").withColumnRenamed("node", "at"))
 
 
 def _firsts(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docsmelt.llm import pii, shingle_sets
@@ -51,10 +52,12 @@ def edited():
     return out
 
 
-def test_near_dedup_is_jaccard_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1 << 21, 400, 30])  # components in one group each, the large ones in blocks, nearly all
+def test_near_dedup_is_jaccard_by_brute_force(spark, monkeypatch, group):
     import corpus_pipeline as pipeline
 
     monkeypatch.setattr(shingle_sets, "TILE_ROWS", 16)
+    monkeypatch.setattr(shingle_sets, "GROUP_SHINGLES", group)
     texts = edited()
     root = brute_firsts(brute_sets(texts))
     assert 20 < len(set(root)) < len(texts) - 20
