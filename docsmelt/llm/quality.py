@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsmelt.llm import textscan as ts
-from docsmelt.llm.common import kept_names, passes
+from docsmelt.llm.common import kept_names, passes, release_memory
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -170,4 +170,6 @@ def fit_quality(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Labels that are null, of unknown ids, or contradict each other are left out. Without
     any label all weights are zero, so every score is a half.
     """
-    return train(training_rows(texts, labels.where(~held_out(id_col)), id_col, text_col, label_col, rows))
+    weights = train(training_rows(texts, labels.where(~held_out(id_col)), id_col, text_col, label_col, rows))
+    release_memory()  # the training rows, of which nothing is kept
+    return weights
