@@ -57,14 +57,15 @@ def pattern_quality(context: Column, unit_pattern: Column, keywords: Column) ->
     """How well the words around a match support it, in [0.5, 1]; 0.7 without context.
 
     ``unit_pattern`` matches the units of the parameter's family (null: none), ``keywords``
-    are the words of its name longer than three characters.
+    are the words of its name longer than three characters. Words are bounded by ASCII letters,
+    digits and underscores only, and each character is lower-cased to one, as in the SQL.
     """
-    c = F.lower(context)
+    c = F.lower(F.replace(context, F.lit("İ"), F.lit("i")))  # else a dot of its own would follow the i
     hits = F.size(F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.contains(c, k)))
     score = F.lit(0.6) + F.when(F.coalesce(c.rlike(unit_pattern) if isinstance(unit_pattern, str) else F.regexp_like(c, unit_pattern), F.lit(False)), 0.25).otherwise(0.0)
     score = score + F.when(hits >= 2, 0.2).when(hits == 1, 0.1).otherwise(0.0)
-    score = score + F.when(c.rlike(r"\b(was|were|is|are|set to|fixed at|consisted of)\b"), 0.05).otherwise(0.0)
-    score = score - F.when(c.rlike(r"\b(approximately|about|around|roughly|perhaps|maybe)\b"), 0.1).otherwise(0.0)
+    score = score + F.when(c.rlike(r"(?<!\w)(was|were|is|are|set to|fixed at|consisted of)(?!\w)"), 0.05).otherwise(0.0)
+    score = score - F.when(c.rlike(r"(?<!\w)(approximately|about|around|roughly|perhaps|maybe)(?!\w)"), 0.1).otherwise(0.0)
     score = F.when(c.rlike(r"^[ ]*[0-9.]+[ ]*$"), F.least(score, F.lit(0.6))).otherwise(score)
     return F.when(F.coalesce(F.trim(context), F.lit("")) == "", 0.7).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), score)))
 

@@ -83,11 +83,16 @@ def with_fallback(main: DataFrame, fallback: DataFrame, keys: list[str]) -> Data
 SECTION_ORDER = {"methods": 0, "participants": 1, "procedure": 2, "apparatus": 3}
 
 
-def best(rows: DataFrame, keys: list[str], tie: list[str] = ("pattern_ord", "match_ord")) -> DataFrame:
-    """The most confident row of each key; ties by section order, then by ``tie``, first wins."""
+def best(rows: DataFrame, keys: list[str], tie: list[str] = ("pattern_ord", "match_ord"), main_first: bool = False) -> DataFrame:
+    """The most confident row of each key; ties by section order, then by ``tie``, first wins.
+
+    ``main_first``: rows of the fallback library only for keys without any of the main one,
+    also where several rows or sections of the input have one key.
+    """
     place = F.coalesce(values.lookup(SECTION_ORDER, F.col("section")), F.lit(9)) if "section" in rows.columns else F.lit(0)
     rest = [c for c in rows.columns if c not in keys]
-    order = F.struct((-F.col("confidence")).alias("o0"), place.alias("o1"), *[F.col(t).alias(f"o{i}") for i, t in enumerate(tie, 2)])
+    late = [(F.col("lib") != "main").alias("late")] if main_first else []
+    order = F.struct(*late, (-F.col("confidence")).alias("o0"), place.alias("o1"), *[F.col(t).alias(f"o{i}") for i, t in enumerate(tie, 2)])
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*")
 
 

@@ -99,7 +99,7 @@ def param_counts(spark, sf_dir):
 )
 def fallback_library(spark, sf_dir):
     rows = extract.candidates_with_fallback(table(spark, sf_dir, "documents"), GENERIC, GENERIC_FALLBACK, ["doc_id"], ignore_case=False)
-    return extract.best(rows, ["doc_id", "param"]).select("doc_id", "param", "lib", "value_raw", "confidence")
+    return extract.best(rows, ["doc_id", "param"], main_first=True).select("doc_id", "param", "lib", "value_raw", "confidence")
 
 
 _CLEAN_SQL = "regexp_replace(text, '([\\p{L}\\p{M}\\p{Nd}_]+)-[\\t\\n\\x0b\\f\\r \\x{85}\\p{Z}]+([\\p{L}\\p{M}\\p{Nd}_]+)', '\\1\\2', 'g')"
